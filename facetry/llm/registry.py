@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from facetry.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from facetry.llm.piece_codec import op2_token_counts, op8_sentencepiece
 from facetry.llm.mixing import OP6_SQL, op6_mixing
 
-QUERIES = {"op6_mixing": op6_mixing, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op2_token_counts": op2_token_counts, "op8_sentencepiece": op8_sentencepiece, "op6_mixing": op6_mixing, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op6_mixing": OP6_SQL, "op10_exact_dedup": OP10_SQL}
