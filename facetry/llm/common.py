@@ -60,3 +60,31 @@ def uniform(key: Column, seed: int) -> Column:
     """A repeatable number in (0, 1) of 52 bits for each key."""
     bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 13), 16, 10).cast("long")
     return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+#: Bits of a filter for each key, and the most bits that a filter has (2 MB as broadcast rows).
+BITS_PER_KEY, MOST_BITS = 16, 1 << 23
+
+
+def _slot(key: str, bits: int) -> str:
+    return f"pmod(xxhash64({key}), {bits})"
+
+
+def marks(keys: DataFrame, key: str, count: int) -> tuple[DataFrame, int]:
+    """(word, bits) rows of a filter over `keys`, at most MOST_BITS/64 of them, and the number of its bits."""
+    bits = min(MOST_BITS, max(1 << 12, 1 << (BITS_PER_KEY * max(1, count)).bit_length()))
+    one = keys.select(F.expr(f"shiftright({_slot(key, bits)}, 6)").alias("__word"), F.expr(f"shiftleft(1L, cast({_slot(key, bits)} & 63 as int))").alias("__bit"))
+    return one.groupBy("__word").agg(F.bit_or("__bit").alias("__bits")), bits
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """`rows` whose `key` is not among the keys of `gone` (a column of that name); null keys stay.
+
+    Rows that a broadcast filter of bounded size lets by are kept where they are; only the others are joined by a shuffle.
+    """
+    gone = written(gone.select(key).distinct(), "gone")
+    filt, bits = marks(gone, key, gone.count())
+    seen = rows.withColumn("__word", F.expr(f"shiftright({_slot(key, bits)}, 6)")).join(F.broadcast(filt), "__word", "left")
+    maybe = F.expr(f"coalesce(shiftright(__bits, cast({_slot(key, bits)} & 63 as int)) & 1L = 1L, false)")
+    kept = seen.where(~maybe).select(rows.columns)
+    return kept.unionByName(seen.where(maybe).select(rows.columns).join(gone, key, "left_anti").select(rows.columns))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.common import WHITESPACE, attach, table, written
+from facetry.llm.common import WHITESPACE, attach, table, without, written
 
 #: Filter bits for each hit, and the most bits that a filter has (2 MB as broadcast rows).
 BITS_PER_HIT, MOST_BITS = 16, 1 << 23
@@ -88,9 +88,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with the columns of `docs`; of rows that agree in id and normalised text too, each stays."""
-    gone = classes(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    """The rows of `docs` that stay, with the columns of `docs`; rows that repeat an id and its normalised text stay once."""
+    found = written(classes(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "kept"), "dedup-classes")
+    out = without(docs, found.where("not kept"), id_col)
+    repeated = written(found.where("kept").groupBy(id_col).count().where("count > 1").select(id_col), "dedup-repeated")
+    if repeated.isEmpty():
+        return out
+    once = out.join(repeated, out[id_col].eqNullSafe(repeated[id_col]), "left_semi").withColumn("__norm", normalised(F.col(text_col))).dropDuplicates([id_col, "__norm"]).drop("__norm")
+    return out.join(repeated, out[id_col].eqNullSafe(repeated[id_col]), "left_anti").unionByName(once)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.llm import textkit as tk
-from facetry.llm.common import attach, table, written
+from facetry.llm.common import attach, table, without, written
 from facetry.llm.components import components
 
 #: Shingles in a block of a large component; pivots of one; documents of one flush of cells.
@@ -398,9 +398,8 @@ def _by(*keys):
 
 
 def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of `docs` that stay, one of each component (its smallest doc_id), with the columns of `docs`."""
-    gone = jaccard_components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    """The rows of `docs` that stay, one document of each component (its smallest doc_id), with the columns of `docs`."""
+    return without(docs, jaccard_components(docs, k, num, den).where("doc_id <> component_id").select("doc_id"), "doc_id")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
