@@ -35,7 +35,17 @@ def corners(box: Box) -> DataFrame:
     return x
 
 
-P = [F.col("p")[i] for i in range(4)]
+class _Corners:
+    """The four corners of p as columns, made when they are asked for: a column needs a session."""
+
+    def __getitem__(self, i):
+        return [F.col("p")[k] for k in range(4)][i]
+
+    def __len__(self):
+        return 4
+
+
+P = _Corners()
 
 
 def _inc(box: Box) -> DataFrame:
