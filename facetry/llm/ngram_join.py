@@ -6,8 +6,9 @@ can reach the threshold meets in a candidate group:
 * Sizes fall into classes.  A pair whose smaller set is in class c differs in at most d(c) shingles, so if hash space
   is cut into d + 1 + g ranges, more than g ranges hold the same shingles in both.  Each node names its non-empty
   ranges by what they hold (a cell), and its empty ranges too if there are more than g.  So a linked pair shares a cell.
-* Cells that share a node are joined to candidate components.  Each task sends one node of a cell and links the others
-  to it, so a cell that very many texts share is small when it is gathered.
+* All pairs of a small cell are candidates; a pair is dropped if the bitmaps of its sets rule the threshold out.  A cell of
+  over `SMALL` nodes is kept whole: its nodes are linked to its first.  A task that holds so many of one cell sends only
+  the first, so a cell that very many texts share is small when it is gathered.  What is linked so is a candidate component.
 
 Inside a candidate component a signature tree is built: its leaves are runs of sets, its nodes hold the OR of their
 sets' token bitmaps, the range of sizes and the most tokens that share a bit.  A dual traversal drops node pairs whose
@@ -36,6 +37,8 @@ from facetry.llm.components import components
 
 #: Shingles in a block of a large component; pivots of one; documents of one flush of cells.
 BLOCK, PIVOTS, FLUSH = 1 << 21, 8, 12_000
+#: Nodes of a cell up to which its pairs are taken one by one; bits of a node's bitmap.
+SMALL, BITS = 48, 2048
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -121,25 +124,55 @@ def cells(s: np.ndarray, classes: Classes) -> np.ndarray:
     return tk.mix64(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-_SCHEMA = "kind int, doc_id long, n long, node long, other long, bucket int, cell binary, hold binary"
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-_NAMES = ["kind", "doc_id", "n", "node", "other", "bucket", "cell", "hold"]
+_SCHEMA = "kind int, doc_id long, n long, node long, other long, bucket int, cell binary, hold binary, bits binary"
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+_NAMES = ["kind", "doc_id", "n", "node", "other", "bucket", "cell", "hold", "bits"]
 
 
 def _batch(size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in zip(_NAMES, _TYPES, strict=True)], _NAMES)
 
 
-def star_edges(cell: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, other) links of nodes that share a cell, each once, and (cell, first) of every cell."""
+def bitmap(s: np.ndarray) -> bytes:
+    """The bits of a set's shingles."""
+    flat = np.zeros(BITS, bool)
+    flat[(s & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(flat).tobytes()
+
+
+def grouped(cell: np.ndarray, node: np.ndarray, big: np.ndarray):
+    """Distinct (cell, node), sorted, with each one's cell's first place, and whether that cell is kept whole."""
     order = np.lexsort((node, cell))
-    cell, node = cell[order], node[order]
+    cell, node, big = cell[order], node[order], big[order]
     fresh = np.ones(len(cell), bool)
     fresh[1:] = cell[1:] != cell[:-1]
-    head = node[np.maximum.accumulate(np.where(fresh, np.arange(len(cell)), 0))]
-    rest = ~fresh & (head != node)
-    pairs = np.unique(np.stack([head[rest], node[rest]], 1), axis=0) if rest.any() else np.zeros((0, 2), np.int64)
-    return pairs[:, 0], pairs[:, 1], cell[fresh], node[fresh]
+    start = np.flatnonzero(fresh)
+    if not len(start):
+        return cell, node, start, big
+    whole = np.maximum.reduceat(big, start)
+    twice = np.zeros(len(cell), bool)
+    twice[1:] = ~fresh[1:] & (node[1:] == node[:-1])
+    group = np.cumsum(fresh) - 1
+    cell, node, group = cell[~twice], node[~twice], group[~twice]
+    size = np.bincount(group)
+    first = np.cumsum(size) - size
+    return cell, node, first[group], (whole | (size > SMALL))[group]
+
+
+def pairs_of(node: np.ndarray, first: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs to be checked, links kept) of cells."""
+    rest = whole & (first != np.arange(len(node)))
+    kept = np.stack([node[first[rest]], node[rest]], 1)
+    found = []
+    for step in range(1, SMALL):
+        at = np.flatnonzero((first[:-step] == first[step:]) & ~whole[step:]) if step < len(node) else []
+        if not len(at):
+            break
+        found.append(np.stack([node[at], node[at + step]], 1))
+        if len(found) > 4:
+            found = [np.unique(np.concatenate(found), axis=0)]
+    unique = lambda x: np.unique(x, axis=0) if len(x) else np.zeros((0, 2), np.int64)
+    return unique(np.concatenate(found)) if found else np.zeros((0, 2), np.int64), unique(kept)
 
 
 def _scan(num: int, den: int, k: int, buckets: int):
@@ -154,19 +187,23 @@ def _scan(num: int, den: int, k: int, buckets: int):
             cell, node = np.concatenate(held_c), np.concatenate(held_n)
             held_c.clear()
             held_n.clear()
-            a, b, cell, node = star_edges(cell, node)
-            for i in range(0, len(a), 100_000):
-                yield _batch(len(a[i : i + 100_000]), kind=np.full(len(a[i : i + 100_000]), 2, np.int32), node=a[i : i + 100_000], other=b[i : i + 100_000])
+            cell, node, first, whole = grouped(cell, node, np.zeros(len(cell), bool))
+            _, kept = pairs_of(node[whole], _again(first, whole), np.ones(int(whole.sum()), bool))
+            for i in range(0, len(kept), 100_000):
+                part = kept[i : i + 100_000]
+                yield _batch(len(part), kind=np.full(len(part), 2, np.int32), node=part[:, 0], other=part[:, 1])
+            sent = ~whole | (first == np.arange(len(node)))  # of a cell kept whole, the first stands for all
+            cell, node, whole = cell[sent], node[sent], whole[sent]
             of = ((cell >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(of, kind="stable")
-            of, cell, node = of[order], cell[order], node[order]
+            of, cell, node, whole = of[order], cell[order], node[order], whole[order]
             edge = np.searchsorted(of, np.arange(buckets + 1))
             have = np.flatnonzero(np.diff(edge))
             packed, holds = [], []
             for q in have:
                 x, own = cell[edge[q] : edge[q + 1]], node[edge[q] : edge[q + 1]]
                 names, at = np.unique(own, return_inverse=True)
-                small = (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((x >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
+                small = (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((x >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes() + np.packbits(whole[edge[q] : edge[q + 1]]).tobytes()
                 packed.append(small)
                 holds.append(np.array([len(names)], "<i8").tobytes() + names.astype("<i8").tobytes() + at.astype("<u2" if len(names) < 65536 else "<u4").tobytes())
             for i in range(0, len(have), 64):
@@ -176,7 +213,7 @@ def _scan(num: int, den: int, k: int, buckets: int):
             for a, b, data, offsets in tk.slices(batch.column(1)):
                 sets = shingle_sets(data, offsets, k)
                 nodes = np.array([set_digest(s) for s in sets], np.int64)
-                yield _batch(b - a, kind=np.zeros(b - a, np.int32), doc_id=batch.column(0).slice(a, b - a), n=np.array([len(s) for s in sets], np.int64), node=nodes)
+                yield _batch(b - a, kind=np.zeros(b - a, np.int32), doc_id=batch.column(0).slice(a, b - a), n=np.array([len(s) for s in sets], np.int64), node=nodes, bits=[bitmap(s) for s in sets])
                 for s, node in zip(sets, nodes.tolist(), strict=True):
                     if node and node not in seen:
                         if len(seen) > 2_000_000:
@@ -193,16 +230,42 @@ def _scan(num: int, den: int, k: int, buckets: int):
     return run
 
 
+def _again(first: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """First places within the part `some`, which holds cells whole."""
+    return np.searchsorted(np.flatnonzero(some), first[some])
+
+
 def _meet(tables: pa.Table) -> pa.Table:
-    """The links of a bucket's cells."""
-    cell, node = [], []
+    """The candidates of a bucket's cells."""
+    cell, node, big = [], [], []
     for c, h in zip(tables.column("cell").to_pylist(), tables.column("hold").to_pylist(), strict=True):
-        n = len(c) // 5
+        head = int(np.frombuffer(h, "<i8", 1)[0])
+        names = np.frombuffer(h, "<i8", head, 8)
+        at = np.frombuffer(h, "<u2" if head < 65536 else "<u4", -1, 8 + 8 * head)
+        n = len(at)
         cell.append(np.frombuffer(c, "<u4", n).astype(np.uint64) | np.frombuffer(c, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
-        names = np.frombuffer(h, "<i8", int(np.frombuffer(h, "<i8", 1)[0]), 8)
-        node.append(names[np.frombuffer(h, "<u2" if len(names) < 65536 else "<u4", n, 8 + 8 * len(names))])
-    a, b, _, _ = star_edges(np.concatenate(cell), np.concatenate(node))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        node.append(names[at])
+        big.append(np.unpackbits(np.frombuffer(c, np.uint8, -1, 5 * n), count=n).astype(bool))
+    _, node, first, whole = grouped(np.concatenate(cell), np.concatenate(node), np.concatenate(big))
+    check, kept = pairs_of(node, first, whole)
+    both = np.concatenate([check, kept])
+    return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64()), "kept": pa.array(np.arange(len(both)) >= len(check))})
+
+
+def _possible(num: int, den: int):
+    """Drops pairs whose sizes or bitmaps rule the threshold out: each bit of one that the other lacks is a shingle it lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
+            if not len(a):
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(a), BITS // 64) for k in (4, 5))
+            most = np.minimum(na - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            on = most * (num + den) >= num * (na + nb)
+            yield pa.RecordBatch.from_pydict({"a": a[on], "b": b[on]})
+
+    return run
 
 
 class SignatureTree:
@@ -331,16 +394,20 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scan = written(picked.mapInArrow(_scan(num, den, k, buckets), _SCHEMA), "ngram-scan")
-    rows = scan.where("kind = 0").select("doc_id", "n", "node")
-    met = scan.where("kind = 1").select("bucket", "cell", "hold").groupBy("bucket").applyInArrow(_meet, "a long, b long")
-    edges = met.unionByName(scan.where("kind = 2").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    nodes = written(rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.min("n").alias("n"), F.count(F.lit(1)).alias("group_size")), "ngram-nodes")
+    rows = scan.where("kind = 0").select("doc_id", "n", "node", "bits")
+    met = scan.where("kind = 1").select("bucket", "cell", "hold").groupBy("bucket").applyInArrow(_meet, "a long, b long, kept boolean")
+    met = written(met, "ngram-met")
+    nodes = written(rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.min("n").alias("n"), F.count(F.lit(1)).alias("group_size"), F.first("bits").alias("bits")), "ngram-nodes")
+    of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    check = met.where("not kept").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+    checked = check.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_possible(num, den), "a long, b long")
+    edges = checked.unionByName(met.where("kept").select("a", "b")).unionByName(scan.where("kind = 2").select(F.col("node").alias("a"), F.col("other").alias("b")))
     cand = written(components(edges).withColumnRenamed("label", "comp"), "ngram-candidates")
     # one text of each candidate node, found by a second scan through a filter of bounded size
     member = written(cand.join(nodes, "node").select("node", "comp", "n"), "ngram-members")
     weigh = written(member.groupBy("comp").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("members")), "ngram-weights")
     total = member.count()
-    texts = attach(_texts(picked, rows, member), weigh, "comp", "members", total)
+    texts = attach(_texts(picked, rows.drop("bits"), member), weigh, "comp", "members", total)
     texts = written(texts.withColumn("blocks", F.ceil(F.col("weight") / block)), "ngram-texts")
     small = texts.where("blocks <= 1").select(F.col("comp").cast("string").alias("grp"), "node", F.col("node").alias("label"), "text")
     links = written(_links_of(small, num, den, k), "ngram-links")
@@ -348,11 +415,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     if not large.isEmpty():
         links = links.unionByName(_large_links(large, num, den, k, block))
     label = components(links)
-    member_of = nodes.join(label, "node", "left").select("node", "low", "group_size", F.coalesce("label", "node").alias("label"))
+    member_of = nodes.drop("bits").join(label, "node", "left").select("node", "low", "group_size", F.coalesce("label", "node").alias("label"))
     lowest = member_of.groupBy("label").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("members"))
     full = attach(member_of, lowest, "label", "members", nodes.count())
     full = written(full.select("node", "group_size", "component_id"), "ngram-components")
-    out = attach(rows.where("node <> 0"), full, "node", "group_size", rows.count())
+    out = attach(rows.where("node <> 0").drop("bits"), full, "node", "group_size", rows.count())
     alone = rows.where("node = 0").select("doc_id", "n", "node", F.col("doc_id").alias("component_id"))
     return out.select("doc_id", "n", "node", "component_id").unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node")
 
