@@ -1,4 +1,4 @@
 """All registered mesh queries."""
 
-from facetry.plans import box_queries, table_queries  # noqa: F401
+from facetry.plans import box_queries, model_queries, table_queries  # noqa: F401
 from facetry.plans.catalog import ORACLES, QUERIES  # noqa: F401
