@@ -32,11 +32,6 @@ def values_sql(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(map(str, r)) + ")" for r in rows)
 
 
-def template(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    """A literal table; its size does not grow with data, so it may be broadcast."""
-    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values_sql(rows)} AS t({names})"))
-
-
 class Box:
     """n x n x n cells on the unit cube, six tets each; ids from indices alone, so any part can be made anywhere."""
 
@@ -53,10 +48,8 @@ class Box:
         n, m = self.n, self.n + 1
         c = self.spark.range(n**3).withColumnRenamed("id", "cell")
         i, j, k = F.col("cell") % n, F.floor(F.col("cell") / n) % n, F.floor(F.col("cell") / (n * n))
-        t = template(self.spark, kuhn_template(), "t, pos, dx, dy, dz")
         # every cell takes all rows of a 24-row literal: an expansion, not a product of two tables
         rows = F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip(("t", "pos", "dx", "dy", "dz"), r, strict=True)]) for r in kuhn_template()])
-        del t
         x = c.select("cell", i.alias("i"), j.alias("j"), k.alias("k"), F.explode(rows).alias("r"))
         vert = (F.col("i") + F.col("r.dx")) + m * ((F.col("j") + F.col("r.dy")) + m * (F.col("k") + F.col("r.dz")))
         return x.select((F.col("cell") * 6 + F.col("r.t")).alias("elem"), F.col("r.pos").alias("pos"), vert.cast("long").alias("vert"))
