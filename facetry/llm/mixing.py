@@ -108,7 +108,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     rows = written(rows.withColumn("source_key", key), "mix-rows")
-    # one row in 1 of 64 salts first, so that a hot source is summed in pieces
+    # each task sums a source's rows first, so that a hot source is a row for each task when it is moved
     sums = rows.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     s = targets(sums)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
