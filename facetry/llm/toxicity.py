@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ from facetry.llm import textkit as tk
 from facetry.llm.common import table
 from facetry.llm.language_id import folded, held_out
 
-SAMPLE, MOST_CHARS, WIDTH, STRIDE = 2500, 30_000, 48, 32
+SAMPLE, MOST_CHARS, WIDTH, STRIDE = 1500, 20_000, 48, 32
 HIDDEN, WORD_DIM, CHAR_DIM, DICTIONARY, BUCKETS, EPOCHS, STEPS = 8, 8, 8, 8000, 1 << 15, 5, 160
 THRESHOLD = 0.7
 _PUNCT = np.zeros(256, bool)
@@ -261,15 +260,15 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Net:
     # log-odds of words and features by texts that have them
     label = y.astype(bool)
     n_pos, n_neg = label.sum(), (~label).sum()
-    pairs = pd.unique(s.row * np.int64(len(s.hash)) + s.code)
-    doc, word = pairs // len(s.hash), pairs % len(s.hash)
-    in_docs = np.bincount(word, minlength=len(s.hash))
-    f = tk.csr_take(s.feats, s.ptr, word).astype(np.int64)
-    fd = pd.unique(np.repeat(doc, np.diff(s.ptr)[word]) * BUCKETS + f)
-    odds = lambda pos, neg: np.where(pos >= 3, np.log((pos + 0.1) / n_pos) - np.log((neg + 0.5) / n_neg), 0.0)
-    count = lambda at, on, n: np.bincount(at[on], minlength=n)
-    w_odds = odds(count(word, label[doc], len(s.hash)), count(word, ~label[doc], len(s.hash)))
-    f_odds = odds(count(fd % BUCKETS, label[fd // BUCKETS], BUCKETS), count(fd % BUCKETS, ~label[fd // BUCKETS], BUCKETS))
+    w_has, f_has = np.zeros((2, len(s.hash)), np.int64), np.zeros((2, BUCKETS), np.int64)
+    begin = np.searchsorted(s.row, np.arange(len(y) + 1))
+    for i in range(len(y)):  # text by text, so that memory is a text's
+        word = np.unique(s.code[begin[i] : begin[i + 1]])
+        w_has[int(label[i]), word] += 1
+        f_has[int(label[i]), np.unique(tk.csr_take(s.feats, s.ptr, word))] += 1
+    in_docs = w_has.sum(axis=0)
+    odds = lambda has: np.where(has[1] >= 3, np.log((has[1] + 0.1) / n_pos) - np.log((has[0] + 0.5) / n_neg), 0.0)
+    w_odds, f_odds = odds(w_has), odds(f_has)
     top = np.maximum(w_odds, np.maximum.reduceat(f_odds[s.feats], s.ptr[:-1]) if len(s.feats) else 0)
     code, mask = _codes(top[s.code], s.first, s.size, WIDTH)
     heat = np.where(mask > 0, np.maximum(code - 1.5, 0), 0).sum(axis=1)
