@@ -140,18 +140,20 @@ def index(rows: DataFrame) -> DataFrame:
 
 
 def _by_shard(places: DataFrame) -> DataFrame:
-    return places.select("digest", "shard", "offset", "length").repartition("shard").sortWithinPartitions("shard", "offset")
+    return places.select("digest", "shard", "offset", "length", "group_size").repartition("shard").sortWithinPartitions("shard", "offset")
 
 
-def _ranges(batches: Iterator[pa.RecordBatch], folder: str, head_only: bool) -> Iterator[list[tuple[str, bytes]]]:
+def _ranges(batches: Iterator[pa.RecordBatch], folder: str, head_only: bool) -> Iterator[list[tuple[str, bytes, bytes, int]]]:
+    """(digest, header, the whole or nothing, rows of the digest), by range reads."""
     fs, path = _open(folder)
     name, file = None, None
     for batch in batches:
         out = []
-        for digest, shard, offset, length in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for digest, shard, offset, length, rows in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if shard != name:
                 name, file = shard, fs.open_input_file(f"{path}/{shard}")
-            out.append((digest, file.read_at(_HEAD if head_only else length, offset)))
+            head = file.read_at(_HEAD, offset)
+            out.append((digest, head, b"" if head_only else head + file.read_at(length - _HEAD, offset + _HEAD), rows))
             if len(out) >= 500:
                 yield out
                 out = []
@@ -164,37 +166,35 @@ def metadata(places: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _ranges(batches, folder, True):
-            heads = [png_header(x) for _, x in some]
-            yield pa.RecordBatch.from_pydict({"digest": [d for d, _ in some], **{n: pa.array([h[k] for h in heads], pa.int64()) for k, n in enumerate(("width", "height", "bits"))}})
+            heads = [png_header(x) for _, x, _, _ in some]
+            yield pa.RecordBatch.from_pydict({"digest": [d for d, *_ in some], **{n: pa.array([h[k] for h in heads], pa.int64()) for k, n in enumerate(("width", "height", "bits"))}})
 
     return _by_shard(places).mapInArrow(run, "digest string, width long, height long, bits long")
 
 
 def features(places: DataFrame, folder: str) -> DataFrame:
-    """digest and what the stored bytes, read back whole, say."""
+    """digest, what the header says and what the stored bytes, read back whole, say; with the rows of each digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _ranges(batches, folder, False):
             rows = []
-            for digest, data in some:
+            for digest, head, data, n in some:
                 body = decode_png(data)
+                w, h, bits = png_header(head)
                 x = np.frombuffer(body, np.uint8)
-                rows.append((digest, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), f"sum={int(x.sum(dtype=np.int64))};max={int(x.max())};zero={int((x == 0).sum())};high={int((x > 127).sum())}"))
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "signal"]
+                rows.append((digest, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), n, f"png:{w}x{h}:{bits}:sum={int(x.sum(dtype=np.int64))};max={int(x.max())};zero={int((x == 0).sum())};high={int((x > 127).sum())}"))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+            names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "group_size", "feature"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return _by_shard(places).mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, signal string")
+    return _by_shard(places).mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, group_size long, feature string")
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     folder = folder or scratch_path(docs.sparkSession, "media-shards")
     rows = store(docs, folder, shard_bytes=shard_bytes)
     places = written(index(rows), "media-index")
-    heads = metadata(places, folder)
-    full = features(places, folder).join(heads, "digest").join(places.select("digest", "group_size"), "digest")
-    full = full.withColumn("feature", F.format_string("png:%dx%d:%d:%s", "width", "height", "bits", "signal"))
-    full = written(full.drop("signal"), "media-features")
+    full = written(features(places, folder), "media-features")
     return attach(rows.drop("shard", "offset", "length"), full, "digest", "group_size", rows.count())
 
 
