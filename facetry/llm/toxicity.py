@@ -5,8 +5,8 @@ between word marks, and prefixes that say whether the word goes on.  Windows of
 directions run over all windows side by side, attention pools the states of a window, and a text's score is the
 calibrated maximum over all its windows.
 
-Training takes at most `sample` labelled texts of each label of at most `most_chars` characters, chosen by a hash of
-the label's row: a bounded sample, both bounds parameters.  Of a text of label 1 the most suspicious windows by
+Training takes some `sample` texts of each label of at most `most_chars` characters, chosen by a hash of the id from the
+labelled texts of the training fold that are no longer: a bounded sample, both bounds parameters.  Of a text of label 1 the most suspicious windows by
 log-odds of words and character features are learned, of label 0 those and others.
 
 Defined results: null and blank texts are a window without words; without labels, or with labels of one kind only, all
@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.llm import textkit as tk
-from facetry.llm.common import table
+from facetry.llm.common import table, written
 from facetry.llm.language_id import folded, held_out
 
-SAMPLE, MOST_CHARS, WIDTH, STRIDE = 1500, 20_000, 48, 32
+SAMPLE, MOST_CHARS, WIDTH, STRIDE = 2500, 30_000, 48, 32
 HIDDEN, WORD_DIM, CHAR_DIM, DICTIONARY, BUCKETS, EPOCHS, STEPS = 8, 8, 8, 8000, 1 << 15, 5, 160
 THRESHOLD = 0.7
+#: Distinct words whose character features are worked on at once.
+SOME_WORDS = 1 << 14
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
@@ -48,6 +50,15 @@ def trimmed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 def char_features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, ptr): hashed n-grams of 3 and 4 bytes between marks, and prefixes of 2 to 10 bytes with whether more follows."""
+    keys, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for k in range(0, len(start), SOME_WORDS):
+        key, ptr = _some_features(data, start[k : k + SOME_WORDS], end[k : k + SOME_WORDS])
+        keys.append(key)
+        sizes.append(np.diff(ptr))
+    return np.concatenate(keys), np.cumsum(np.concatenate(sizes))
+
+
+def _some_features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     m, size = tk.spelled(data, start, np.minimum(end, start + tk.LONG))
     n, width = m.shape
     marked = np.zeros((n, width + 2), np.uint64)
@@ -103,8 +114,10 @@ def inputs(w: dict, word: np.ndarray, feats: np.ndarray, ptr: np.ndarray) -> tup
     root = np.sqrt(np.maximum(size, 1)).astype(np.float32)
     chars = np.zeros((len(word), CHAR_DIM), np.float32)
     have = np.flatnonzero(size)
-    if len(have):
-        chars[have] = np.add.reduceat(w["char"][feats], ptr[:-1][have], axis=0)
+    for k in range(0, len(have), SOME_WORDS):
+        some = have[k : k + SOME_WORDS]
+        low, high = ptr[some[0]], ptr[some[-1] + 1]
+        chars[some] = np.add.reduceat(w["char"][feats[low:high]], ptr[some] - low, axis=0)
     return np.concatenate([w["word"][word], chars / root[:, None]], axis=1), root
 
 
@@ -169,6 +182,27 @@ class Prepared:
             self.feats, self.ptr = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.first, self.size, self.text = windows(self.row, len(offsets) - 1)
 
+    @classmethod
+    def of_texts(cls, texts: list[str]) -> Prepared:
+        """All texts as one slice, prepared slice by slice, so that beside the result memory is a slice's."""
+        codes, hashes, feats, sizes, rows, n_words = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], 0
+        for a, _, data, offsets in tk.slices(pa.array(texts, pa.large_string())):
+            part = cls(data, offsets)
+            codes.append(part.code + n_words)
+            rows.append(part.row + a)
+            hashes.append(part.hash)
+            feats.append(part.feats)
+            sizes.append(np.diff(part.ptr))
+            n_words += len(part.hash)
+        s = cls.__new__(cls)
+        s.row = np.concatenate(rows)
+        code, s.hash, first = tk.distinct(np.concatenate(hashes))
+        s.code = code[np.concatenate(codes)]
+        ptr = np.cumsum(np.concatenate(sizes))
+        s.feats, s.ptr = tk.csr_take(np.concatenate(feats), ptr, first), np.concatenate([[0], np.cumsum(np.diff(ptr)[first])])
+        s.first, s.size, s.text = windows(s.row, len(texts))
+        return s
+
     def words_of(self, known: np.ndarray) -> np.ndarray:
         """The dictionary's number of each distinct word; 0 if it has none."""
         if not len(known):
@@ -254,9 +288,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Net:
     rng = np.random.default_rng(seed)
     rows = rows + [("", 0)] * max(4, len(rows) // 40)  # a text without words is learned as label 0
     y = np.array([b for _, b in rows], np.float32)
-    buf = pa.array([t for t, _ in rows], pa.large_string())
-    (_, _, data, offsets), = tk.slices(buf, 1 << 40)
-    s = Prepared(data, offsets)
+    s = Prepared.of_texts([t for t, _ in rows])
     # log-odds of words and features by texts that have them
     label = y.astype(bool)
     n_pos, n_neg = label.sum(), (~label).sum()
@@ -270,8 +302,10 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Net:
     odds = lambda has: np.where(has[1] >= 3, np.log((has[1] + 0.1) / n_pos) - np.log((has[0] + 0.5) / n_neg), 0.0)
     w_odds, f_odds = odds(w_has), odds(f_has)
     top = np.maximum(w_odds, np.maximum.reduceat(f_odds[s.feats], s.ptr[:-1]) if len(s.feats) else 0)
-    code, mask = _codes(top[s.code], s.first, s.size, WIDTH)
-    heat = np.where(mask > 0, np.maximum(code - 1.5, 0), 0).sum(axis=1)
+    at_word, heat = top[s.code], np.zeros(len(s.first))
+    for k in range(0, len(heat), 4096):
+        code, mask = _codes(at_word, s.first[k : k + 4096], s.size[k : k + 4096], WIDTH)
+        heat[k : k + 4096] = np.where(mask > 0, np.maximum(code - 1.5, 0), 0).sum(axis=1)
     by_heat = np.lexsort((-heat, s.text))
     rank = np.arange(len(by_heat)) - np.searchsorted(s.text[by_heat], s.text[by_heat], "left")
     hot = by_heat[rank < 2]
@@ -331,8 +365,10 @@ def score_slice(net: Net, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_chars: int = MOST_CHARS) -> Net:
-    """Learns from documents whose labels.toxic is known; at most `sample` of each label."""
+    """Learns from documents whose labels.toxic is known; some `sample` of each label, or all if there are fewer."""
+    docs = docs.where(F.char_length("text") <= most_chars)
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = written(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "toxic-labels")  # those that can be learned from
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return train([])
@@ -340,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_chars: in
     for k, n in counts.items():
         rate = F.when(F.col("toxic") == k, F.lit(min(1.0, sample / n))).otherwise(rate)
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20)).limit(4 * sample)  # a bound that chance does not reach
-    rows = docs.join(F.broadcast(chosen), "doc_id").where(F.char_length("text") <= most_chars).select("text", "toxic").toLocalIterator()
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic").toLocalIterator()
     return train(sorted((r["text"], int(r["toxic"] > 0)) for r in rows))
 
 

@@ -87,3 +87,32 @@ def test_features_are_the_same_in_any_slice():
             s = tx.Prepared(data, offsets)
             for i, h in enumerate(s.hash.tolist()):
                 assert whole.setdefault(h, s.feats[s.ptr[i] : s.ptr[i + 1]].tolist()) == s.feats[s.ptr[i] : s.ptr[i + 1]].tolist()
+
+
+def test_sample_is_drawn_from_texts_that_can_be_learned_from(spark, monkeypatch):
+    """Labels of other folds, of long texts and of no text take none of the sample's places."""
+    docs = spark.createDataFrame([(i, "w" * (40 if i % 2 else 10)) for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(12_000)], "doc_id long, toxic int")
+    monkeypatch.setattr(tx, "train", lambda rows: rows)
+    rows = tx.fit(docs, labels, sample=300, most_chars=20)
+    for label in (0, 1):
+        assert 230 <= sum(y == label for _, y in rows) <= 370
+    assert len(tx.fit(docs, labels, sample=5000, most_chars=20)) == 2000
+    assert (tx.SAMPLE, tx.MOST_CHARS) == (2500, 30_000)
+
+
+def test_texts_prepared_by_slices(monkeypatch):
+    """Slices change nothing of what is learned from."""
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice("ab cd, efg! hijk lmnop".split()) + str(rnd.randrange(60)) for _ in range(rnd.randrange(120))) for _ in range(50)]
+    (_, _, data, offsets), = tk.slices(pa.array(texts, pa.large_string()), 1 << 40)
+    whole, cut = tx.Prepared(data, offsets), tk.slices
+    monkeypatch.setattr(tk, "slices", lambda column: cut(column, 500))
+    monkeypatch.setattr(tx, "SOME_WORDS", 7)
+    s = tx.Prepared.of_texts(texts)
+    for name in ("row", "code", "hash", "feats", "ptr", "first", "size", "text"):
+        assert np.array_equal(getattr(s, name), getattr(whole, name)), name
+    w = tx._params(np.random.default_rng(0), 0)
+    few = tx.inputs(w, np.zeros(len(s.hash), int), s.feats, s.ptr)[0]
+    monkeypatch.setattr(tx, "SOME_WORDS", 1 << 14)
+    assert np.array_equal(few, tx.inputs(w, np.zeros(len(s.hash), int), s.feats, s.ptr)[0])
