@@ -11,7 +11,7 @@ log-odds of words and character features are learned, of label 0 those and other
 
 Defined results: null and blank texts are a window without words; without labels, or with labels of one kind only, all
 texts get the share of label 1 (0 without any); repeated rows repeat; an empty table gives no rows; further columns are
-ignored.  Of words of over 48 bytes the first 48 make the character input.
+ignored.  A run of over 48 bytes without white space enters as overlapping pieces of whole characters.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ HIDDEN, WORD_DIM, CHAR_DIM, DICTIONARY, BUCKETS, EPOCHS, STEPS = 8, 8, 8, 8000,
 THRESHOLD = 0.7
 #: Distinct words whose character features are worked on at once.
 SOME_WORDS = 1 << 14
+#: Bytes of a piece of a long run, and from one piece's begin to the next.
+PIECE, PIECE_STEP = 24, 12
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
@@ -48,6 +50,23 @@ def trimmed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return start, end, row
 
 
+def pieces_of_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as they are up to tk.LONG bytes; a longer one as overlapping pieces that cover it, cut between characters."""
+    size = end - start
+    of = np.where(size > tk.LONG, 1 + -(-(size - PIECE) // PIECE_STEP), 1)
+    if not len(of) or of.max() == 1:
+        return start, end, row
+    word = np.repeat(np.arange(len(of)), of)
+    k = np.arange(len(word)) - np.repeat(np.cumsum(of) - of, of)
+    first, last = start[word], end[word]
+    a = first + k * PIECE_STEP
+    b = np.where(of[word] > 1, np.minimum(a + PIECE, last), last)
+    for _ in range(3):  # a character has at most three bytes that continue it
+        a = a - ((a > first) & (data[a] & 0xC0 == 0x80))
+        b = b + ((b < last) & (data[np.minimum(b, len(data) - 1)] & 0xC0 == 0x80))
+    return a, b, row[word]
+
+
 def char_features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, ptr): hashed n-grams of 3 and 4 bytes between marks, and prefixes of 2 to 10 bytes with whether more follows."""
     keys, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
@@ -59,7 +78,7 @@ def char_features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
 
 
 def _some_features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    m, size = tk.spelled(data, start, np.minimum(end, start + tk.LONG))
+    m, size = tk.spelled(data, start, end)
     n, width = m.shape
     marked = np.zeros((n, width + 2), np.uint64)
     marked[:, 0] = 256
@@ -174,7 +193,7 @@ class Prepared:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         low = folded(data)
-        start, end, self.row = trimmed_words(low, offsets)
+        start, end, self.row = pieces_of_runs(low, *trimmed_words(low, offsets))
         self.code, self.hash, first = tk.distinct(tk.hashes(low, start, end))
         if len(first):
             self.feats, self.ptr = char_features(low, start[first], end[first])

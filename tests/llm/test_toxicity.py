@@ -116,3 +116,30 @@ def test_texts_prepared_by_slices(monkeypatch):
     few = tx.inputs(w, np.zeros(len(s.hash), int), s.feats, s.ptr)[0]
     monkeypatch.setattr(tx, "SOME_WORDS", 1 << 14)
     assert np.array_equal(few, tx.inputs(w, np.zeros(len(s.hash), int), s.feats, s.ptr)[0])
+
+
+def test_long_runs_are_read_to_their_end():
+    rnd = random.Random(5)
+    for text in ("x" * 48, "x" * 49, "日本語" * 40, "aé日🙂" * 30, "a_b-" * 5000, "short " + "y" * 200 + " z"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        start, end, row = tx.pieces_of_runs(data, *tk.words(data, np.array([0, len(data)])))
+        seen = np.zeros(len(data), int)
+        for a, b in zip(start, end, strict=True):
+            data[a:b].tobytes().decode()
+            seen[a:b] += 1
+        assert (seen[data != 32] >= 1).all() and (end - start <= tk.LONG).all() and (np.diff(start) > 0).all()
+    word = lambda: "".join(rnd.choice(["ka", "lo", "mi", "tu", "re"]) for _ in range(3))
+    rows = []
+    for i in range(600):
+        t = [word() for _ in range(rnd.randint(20, 150))]
+        if i % 3 == 0:
+            for _ in range(3):
+                t[rnd.randrange(len(t))] = "vilest"
+        rows.append((rnd.choice(" _-/").join(t), int(i % 3 == 0)))
+    net = tx.train(rows)
+    for sep in "_-/ ":
+        clean = [word() for _ in range(30)]
+        toxic = [*clean[:20], "vilest", *clean[20:]]
+        (_, _, data, offsets), = tk.slices(pa.array([sep.join(clean), sep.join(toxic)]))
+        x, _ = tx.score_slice(net, data, offsets)
+        assert x[1] > 2 * x[0], (sep, x)  # equal while byte 48 was the last one read
