@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding, and token counts, over whole columns of text.
 
 Encoding is the Unigram Viterbi of `pieces` with a dummy prefix and no normalisation; a pre-token is a run of spaces
-with the word or other white-space character after it, and since no piece holds a marker after another character, the
-best segmentation of a text is that of its pre-tokens.  Decoding joins pieces and fallback bytes and drops the prefix.
+with the word or other white-space character after it.  Those with no space between them are taken as one wherever some
+piece of the vocabulary holds the two bytes at the edge (as ");" and a carriage return), and no piece holds a marker
+after another character; so no piece reaches over an edge, and the best segmentation of a text is that of its spans.  Decoding joins pieces and fallback bytes and drops the prefix.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text; a marker character in a text
 comes back by byte fallback; ties are settled by score, fewer pieces, longer last piece; repeated rows give repeated
@@ -24,7 +25,7 @@ from facetry.llm.common import table
 
 def encode_slice(seg: pc.Segmented, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ptr) of the rows of a slice."""
-    start, end, spaces, row = tk.pretokens(data, offsets)
+    start, end, spaces, row = tk.joined(data, *tk.pretokens(data, offsets), seg.p.joins)
     n = len(offsets) - 1
     if not len(start):
         return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
@@ -80,9 +81,9 @@ def codec(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = pc.DEFAULT_MODEL, most: int = 1 << 20) -> DataFrame:
-    """doc_id, n_pretokens, n_tokens, log_score of each text's best segmentation.
+    """doc_id, n_pretokens (before any are joined), n_tokens, log_score of each text's best segmentation.
 
-    A task keeps the terminal counts of the pre-tokens it has seen (up to `most`); those new in a slice of text are put
+    A task keeps the terminal counts of the spans it has seen (up to `most`); those new in a slice of text are put
     into one trie and counted by dynamic programming over its nodes, once per shared prefix.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pc.load(model))
@@ -96,6 +97,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n = b - a
                 tokens = score = held = np.zeros(n)
                 if len(start):
+                    held = np.bincount(row, minlength=n)
+                    start, end, spaces, row = tk.joined(data, start, end, spaces, row, p.joins)
                     h = tk.mix64(tk.hashes(data, start, end) ^ (spaces.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
                     code, values, first = tk.distinct(h)
                     if seen.n + len(values) > most:
@@ -108,7 +111,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         seen.add(values[new])
                         counts, scores = np.concatenate([counts, c]), np.concatenate([scores, s])
                     at = found[code]
-                    tokens, score, held = (tk.row_sums(x, row, n) for x in (counts[at], scores[at], np.ones(len(at))))
+                    tokens, score = (tk.row_sums(x, row, n) for x in (counts[at], scores[at]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(held.astype(np.int64)), pa.array(tokens.astype(np.int64)), pa.array(score)], ["doc_id", "n_pretokens", "n_tokens", "log_score"])
 
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))

@@ -32,6 +32,7 @@ class Pieces:
     byte_score: int
     text: np.ndarray  # decoded bytes of all ids, one after the other
     ptr: np.ndarray
+    joins: np.ndarray  # whether some piece holds byte x and then byte y
 
     @property
     def n(self) -> int:
@@ -115,8 +116,11 @@ def load(model: str = DEFAULT_MODEL) -> Pieces:
     byte_score = round((low - 10) * 65536) * _COUNT - 1
     score[byte_id] = byte_score
     base, check, value = double_array(keys, ids)
+    joins = np.zeros((256, 256), bool)
+    for key in keys:
+        joins[list(key[:-1]), list(key[1:])] = True
     size = np.array([len(t) for t in text], np.int64)
-    return Pieces(base, check, value, score, byte_id, byte_score, np.frombuffer(b"".join(text), np.uint8), np.concatenate([[0], np.cumsum(size)]))
+    return Pieces(base, check, value, score, byte_id, byte_score, np.frombuffer(b"".join(text), np.uint8), np.concatenate([[0], np.cumsum(size)]), joins)
 
 
 def segment_one(p: Pieces, key: bytes) -> list[int]:

@@ -129,6 +129,16 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return start[keep], end[keep], spaces[keep], row[keep]
 
 
+def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, spaces: np.ndarray, row: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pre-tokens, those with no space between them made one where joins[last byte, first byte] says that a piece may reach over."""
+    own = np.ones(len(start), bool)
+    near = np.flatnonzero(spaces == 0)  # never the first of a row, and never empty
+    own[near[joins[data[end[near - 1] - 1], data[start[near]]]]] = False
+    first = np.flatnonzero(own)
+    last = np.append(first[1:], len(start)) - 1
+    return start[first], end[last], spaces[first], row[first]
+
+
 def csr_take(values: np.ndarray, ptr: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """values[ptr[c]:ptr[c+1]] for each c of codes, one after the other."""
     size = ptr[codes + 1] - ptr[codes]

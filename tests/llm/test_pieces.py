@@ -84,3 +84,22 @@ def test_words_and_table():
     t.add(keys[:150_000])
     t.add(keys[150_000:])
     assert (t.find(keys) == np.arange(200_000)).all() and (t.find(keys + np.uint64(1)) < 0).all()
+
+
+def test_whole_texts_with_carriage_returns(spark):
+    """Against brute force over the whole text, so over every edge between words and white space."""
+    p = pc.load()
+    known = pieces_of(p)
+    rnd = random.Random(8)
+    parts = ["f();", "}", " {", "if", " (x)", "\r", "\r\n", "\r\r", "\n", "\t", " ", '">', "word", "日", "*/", "\x0b", "\x0c", "  "]
+    texts = ["int f();\r\n{\r\n}\r\n", "\r", "\r\r\r\r", " \r", "a \r\r b\r", ");\r\t);\r", "x" * 60 + ");\r\n" + "\r" * 60, "\r\n" * 30] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 20))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    coded = {r.doc_id: r for r in cc.codec(docs).collect()}
+    counted = {r.doc_id: r for r in cc.token_counts(docs).collect()}
+    for i, t in enumerate(texts):
+        key = bytes([pc.MARK]) + t.encode().replace(b" ", bytes([pc.MARK]))
+        count, packed = best_by_force(known, p, key)
+        assert coded[i].n_ids == counted[i].n_tokens == count and int(p.score[coded[i].ids].sum()) == packed, repr(t)
+        assert coded[i].ids == pc.segment_one(p, key) and coded[i].round_trip
+        assert abs(counted[i].log_score - (packed + count) / 4096 / 65536) < 1e-6
+    assert counted[0].n_pretokens == 10
