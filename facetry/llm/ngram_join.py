@@ -407,7 +407,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     member = written(cand.join(nodes, "node").select("node", "comp", "n"), "ngram-members")
     weigh = written(member.groupBy("comp").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("members")), "ngram-weights")
     total = member.count()
-    texts = attach(_texts(picked, rows.drop("bits"), member), weigh, "comp", "members", total)
+    texts = attach(_texts(picked, rows.drop("bits"), member, k), weigh, "comp", "members", total)
     texts = written(texts.withColumn("blocks", F.ceil(F.col("weight") / block)), "ngram-texts")
     small = texts.where("blocks <= 1").select(F.col("comp").cast("string").alias("grp"), "node", F.col("node").alias("label"), "text")
     links = written(_links_of(small, num, den, k), "ngram-links")
@@ -424,15 +424,39 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     return out.select("doc_id", "n", "node", "component_id").unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node")
 
 
-def _texts(picked: DataFrame, rows: DataFrame, member: DataFrame) -> DataFrame:
-    """node, comp, text of one row of each member."""
-    source = rows.join(member.select("node", "comp"), "node").groupBy("node", "comp").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
+def _named(k: int):
+    """node, text: the texts with the digests of their sets, each digest once in a while."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for a, b, data, offsets in tk.slices(batch.column(0)):
+                nodes, fresh = [set_digest(s) for s in shingle_sets(data, offsets, k)], []
+                for i, node in enumerate(nodes):
+                    if node and node not in seen:
+                        if len(seen) > 2_000_000:
+                            seen.clear()
+                        seen.add(node)
+                        fresh.append(i)
+                if fresh:
+                    yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in fresh], pa.int64()), batch.column(0).slice(a, b - a).take(pa.array(fresh))], ["node", "text"])
+
+    return run
+
+
+def _texts(picked: DataFrame, rows: DataFrame, member: DataFrame, k: int) -> DataFrame:
+    """node, comp, text of one row of each member.
+
+    The filter holds an id of each member, null if it has no other; what passes is told apart by its set, not by its id.
+    """
+    source = rows.join(member.select("node", "comp"), "node").groupBy("node", "comp").agg(F.min("doc_id").alias("doc_id"))
     source = written(source, "ngram-sources")
     bits = min(1 << 23, max(1 << 12, 1 << (16 * max(1, source.count())).bit_length()))
     slot = f"pmod(xxhash64(doc_id), {bits})"
     marks = source.select(F.expr(f"shiftright({slot}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({slot} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     passed = picked.withColumn("word", F.expr(f"shiftright({slot}, 6)")).join(F.broadcast(marks), "word").where(F.expr(f"shiftright(bits, cast({slot} & 63 as int)) & 1L = 1L"))
-    return passed.select("doc_id", "text").dropDuplicates(["doc_id"]).join(source, "doc_id").select("node", "comp", "text")
+    named = passed.select("text").mapInArrow(_named(k), "node long, text string").dropDuplicates(["node"])
+    return named.join(source.select("node", "comp"), "node").select("node", "comp", "text")
 
 
 def _large_links(large: DataFrame, num: int, den: int, k: int, block: int) -> DataFrame:

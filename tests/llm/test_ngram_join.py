@@ -100,3 +100,13 @@ def test_odd_tables(spark):
     assert got == [(-1, 4, 5), (2, 0, 2), (5, 4, 5), (5, 4, 5), (9, 1, 9)]
     assert nj.jaccard_components(docs.limit(0)).count() == 0
     assert {r.doc_id for r in nj.representatives(docs.where("doc_id is not null")).collect()} == {2, 5, 9}
+
+
+def test_links_by_null_and_repeated_ids(spark):
+    """A node is verified with its own text, whatever the ids of its rows."""
+    w = [[f"{c}{i}" for i in range(70)] for c in "abc"]
+    cut = lambda k, i: " ".join(w[k][i : i + 60])
+    rows = [(1, cut(0, 0)), (None, cut(0, 3)), (3, cut(0, 6)), (5, cut(1, 0)), (5, cut(2, 0)), (7, cut(1, 3)), (8, cut(2, 3)), (None, None)]
+    for some in (rows, rows[::-1]):
+        got = [(r.doc_id, r.n_shingles, r.component_id) for r in nj.jaccard_components(spark.createDataFrame(some, "doc_id long, text string")).collect()]
+        assert sorted(got, key=str) == sorted([(1, 57, 1), (None, 57, 1), (3, 57, 1), (5, 57, 5), (5, 57, 5), (7, 57, 5), (8, 57, 5), (None, 0, None)], key=str)
