@@ -1,19 +1,35 @@
-"""Iterative plans: distances, components, independent sets, halos. Each round is checkpointed, so lineage stays short."""
+"""Iterative plans: distances, components, independent sets, halos. Each round is written, so lineage stays short."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder (spark.checkpoint.dir; a folder of its own where that is unset)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="facetry-"))
-    return df.checkpoint()
+    """`df` as a Parquet table in the shared folder, read again: its lineage ends there, and a lost executor loses nothing."""
+    path = scratch(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset and all runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="facetry-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def directed(edges: DataFrame) -> DataFrame:
@@ -65,7 +81,7 @@ def colouring(edges: DataFrame, verts: DataFrame) -> DataFrame:
     links, left, out, k = pinned(directed(edges)), pinned(verts.select("vert")), None, 0
     while not left.isEmpty():
         some = independent_set(links, left, k).withColumn("colour", F.lit(k))
-        out = some if out is None else out.unionByName(some)
+        out = some if out is None else pinned(out.unionByName(some))
         left = pinned(left.join(some, "vert", "left_anti"))
         k += 1
     return out if out is not None else verts.select("vert", F.lit(0).alias("colour")).limit(0)

@@ -27,9 +27,9 @@ def entities(bound: DataFrame) -> DataFrame:
 
 
 def neighbours(bound: DataFrame) -> DataFrame:
-    """elem, other: elements across a boundary entity used twice. Grouped once, so the pair needs no self-join."""
-    both = bound.groupBy("key").agg(F.sort_array(F.collect_list("elem")).alias("e")).where(F.size("e") == 2)
-    return both.select(F.explode(F.array(F.struct(F.col("e")[0].alias("elem"), F.col("e")[1].alias("other")), F.struct(F.col("e")[1].alias("elem"), F.col("e")[0].alias("other")))).alias("p"), "key").select("p.elem", "p.other", "key")
+    """elem, other, key: elements across a boundary entity, all pairs where it has several. Grouped once, without a self-join."""
+    both = bound.groupBy("key").agg(F.collect_set("elem").alias("e")).where(F.size("e") > 1)
+    return both.select("key", F.explode("e").alias("elem"), "e").select("elem", F.explode("e").alias("other"), "key").where("elem <> other")
 
 
 def bridge(inc: DataFrame, origin: str, via: str) -> DataFrame:

@@ -5,6 +5,7 @@ entity tables: vertex(vert, x, y, z), down(elem, pos, vert), elem(elem, part, we
 
 from __future__ import annotations
 
+import math
 from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -58,15 +59,19 @@ class Box:
         total = 6 * self.n**3
         return self.spark.range(total).select(F.col("id").alias("elem"), F.floor(F.col("id") * parts / total).cast("int").alias("part"), F.lit(1).cast("long").alias("weight"))
 
-    @staticmethod
-    def sql(n: int, parts: int = PARTS) -> str:
-        """The same tables as common table expressions: vertex, down, elem."""
-        m = n + 1
-        return f"""
+    #: The same tables as common table expressions: dim (n), vertex, down, elem.
+    SQL = f"""
+dim AS (SELECT greatest(2, CAST(floor(cbrt(count(*) / 6.0::DOUBLE) + 1e-9) AS BIGINT)) AS n FROM orders),
 bt(t, pos, dx, dy, dz) AS (VALUES {values_sql(kuhn_template())}),
-vertex AS (SELECT r AS vert, (r % {m}) / {float(n)}::DOUBLE AS x, ((r // {m}) % {m}) / {float(n)}::DOUBLE AS y, (r // {m * m}) / {float(n)}::DOUBLE AS z FROM range({m**3}) q(r)),
-down AS (SELECT r * 6 + t AS elem, pos, (r % {n}) + dx + {m} * ((r // {n}) % {n} + dy + {m} * (r // {n * n} + dz)) AS vert FROM range({n**3}) q(r), bt),
-elem AS (SELECT r AS elem, (r * {parts}) // {6 * n**3} AS part, 1 AS weight FROM range({6 * n**3}) q(r))"""
+vertex AS (SELECT r AS vert, (r % (n + 1)) / n::DOUBLE AS x, ((r // (n + 1)) % (n + 1)) / n::DOUBLE AS y, (r // ((n + 1) * (n + 1))) / n::DOUBLE AS z FROM (SELECT n, unnest(range((n + 1) * (n + 1) * (n + 1))) AS r FROM dim)),
+down AS (SELECT r * 6 + t AS elem, pos, (r % n) + dx + (n + 1) * ((r // n) % n + dy + (n + 1) * (r // (n * n) + dz)) AS vert FROM (SELECT n, unnest(range(n * n * n)) AS r FROM dim), bt),
+elem AS (SELECT r AS elem, (r * {PARTS}) // (6 * n * n * n) AS part, 1 AS weight FROM (SELECT n, unnest(range(6 * n * n * n)) AS r FROM dim))"""
+
+
+def box(spark: SparkSession, sf_dir: str) -> Box:
+    """The box of a scale factor: about as many tets as there are orders."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    return Box(spark, max(2, math.floor((rows / 6) ** (1 / 3) + 1e-9)))
 
 
 class Tables:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from facetry.functions import geometry as g
 from facetry.operators import graph, numbering, topology
-from facetry.plans.box_queries import CTE, FACE, N, P, REP, TET, corners
+from facetry.plans.box_queries import CTE, FACE, P, REP, TET, corners
 from facetry.plans.catalog import query
-from facetry.plans.meshes import Box
+from facetry.plans.meshes import box
 
 #: The box's 27 model entities: each side of each axis is 0 (low), 1 (free) or 2 (high).
 MODEL = "m AS (SELECT r AS tag, r % 3 AS a, (r // 3) % 3 AS b, r // 9 AS c, CAST((r % 3 = 1)::INT + ((r // 3) % 3 = 1)::INT + (r // 9 = 1)::INT AS INT) AS dim FROM range(27) q(r)),\nclosure AS (SELECT e.tag, e.dim, t.tag AS target, t.dim AS target_dim FROM m e JOIN m t ON (t.a = 1 OR t.a = e.a) AND (t.b = 1 OR t.b = e.b) AND (t.c = 1 OR t.c = e.c))"
@@ -30,9 +30,9 @@ def closure(spark) -> DataFrame:
     return x.select("tag", "dim", (F.col("x") + 3 * F.col("y") + 9 * F.col("z")).alias("target"), free.alias("target_dim"))
 
 
-def _classified(spark) -> DataFrame:
+def _classified(spark, sf_dir) -> DataFrame:
     side = lambda c: F.when(F.col(c) == 0, 0).when(F.col(c) == 1, 2).otherwise(1)
-    return Box(spark, N).vertex().withColumn("tag", (side("x") + 3 * side("y") + 9 * side("z")).cast("long"))
+    return box(spark, sf_dir).vertex().withColumn("tag", (side("x") + 3 * side("y") + 9 * side("z")).cast("long"))
 
 
 _CLASS = "cls AS (SELECT *, (CASE x WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END) + 3 * (CASE y WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END) + 9 * (CASE z WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END) AS tag FROM vertex)"
@@ -57,13 +57,13 @@ def model_adjacency(spark, sf_dir):
 def nodes_on_closure(spark, sf_dir):
     """Vertices in the closure of each model face."""
     c = F.broadcast(closure(spark).where("target_dim = 2"))
-    return _classified(spark).join(c, "tag").groupBy("target").agg(F.count(F.lit(1)).alias("nodes"))
+    return _classified(spark, sf_dir).join(c, "tag").groupBy("target").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @query("mesh_count_on_model", f"WITH {CTE}, {_CLASS} SELECT tag, count(*) AS n FROM cls GROUP BY tag")
 def count_on_model(spark, sf_dir):
     """Vertices classified exactly on each model entity."""
-    return _classified(spark).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return _classified(spark, sf_dir).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("mesh_condition_inheritance", f"WITH {CTE}, {MODEL}, {_CLASS}, bc(target, value) AS (VALUES (4, 1.0::DOUBLE), (22, 2.0::DOUBLE), (12, 3.0::DOUBLE)) SELECT vert, count(*) AS conditions, max(value) AS value FROM cls JOIN closure USING (tag) JOIN bc USING (target) GROUP BY vert")
@@ -71,27 +71,28 @@ def condition_inheritance(spark, sf_dir):
     """Conditions on model faces reach all that is classified in their closure."""
     bc = F.broadcast(spark.sql("SELECT * FROM VALUES (4L, 1.0D), (22L, 2.0D), (12L, 3.0D) AS t(target, value)"))
     reach = F.broadcast(closure(spark).join(bc, "target"))
-    return _classified(spark).join(reach, "tag").groupBy("vert").agg(F.count(F.lit(1)).alias("conditions"), F.max("value").alias("value"))
+    return _classified(spark, sf_dir).join(reach, "tag").groupBy("vert").agg(F.count(F.lit(1)).alias("conditions"), F.max("value").alias("value"))
 
 
-@query("mesh_match_groups", f"WITH {CTE} SELECT vert, (CASE WHEN x = 1 THEN vert - {N} ELSE vert END) - (CASE WHEN y = 1 THEN {N * (N + 1)} ELSE 0 END) AS grp FROM vertex")
+@query("mesh_match_groups", f"WITH {CTE} SELECT vert, (CASE WHEN x = 1 THEN vert - n ELSE vert END) - (CASE WHEN y = 1 THEN n * (n + 1) ELSE 0 END) AS grp FROM vertex, dim")
 def match_groups(spark, sf_dir):
     """Groups of a mesh periodic along x and y: components of its matches."""
-    v = Box(spark, N).vertex()
+    v = box(spark, sf_dir).vertex()
     mx = v.where("x = 0").select(F.col("vert").alias("b"), "y", "z").join(v.where("x = 1").select(F.col("vert").alias("a"), "y", "z"), ["y", "z"]).select("a", "b")
     my = v.where("y = 0").select(F.col("vert").alias("b"), "x", "z").join(v.where("y = 1").select(F.col("vert").alias("a"), "x", "z"), ["x", "z"]).select("a", "b")
     c = graph.components(mx.union(my))
     return v.join(c, v["vert"] == c["node"], "left").select("vert", F.coalesce("label", "vert").alias("grp"))
 
 
-@query("mesh_duplicate_matches", f"WITH {CTE}, x AS (SELECT vert, vert % {N + 1} AS k FROM vertex) SELECT k, count(*) - 1 AS repeats FROM x GROUP BY k HAVING count(*) > 1")
+@query("mesh_duplicate_matches", f"WITH {CTE}, x AS (SELECT vert, vert % (n + 1) AS k FROM vertex, dim) SELECT k, count(*) - 1 AS repeats FROM x GROUP BY k HAVING count(*) > 1")
 def duplicate_matches(spark, sf_dir):
-    return Box(spark, N).vertex().groupBy((F.col("vert") % (N + 1)).alias("k")).agg((F.count(F.lit(1)) - 1).alias("repeats")).where("repeats > 0")
+    b = box(spark, sf_dir)
+    return b.vertex().groupBy((F.col("vert") % (b.n + 1)).alias("k")).agg((F.count(F.lit(1)) - 1).alias("repeats")).where("repeats > 0")
 
 
 @query("mesh_part_centroids", f"WITH {TET} SELECT part, round(sum(v * (x0+x1+x2+x3) / 4) / sum(v), 9) AS cx, round(sum(v * (y0+y1+y2+y3) / 4) / sum(v), 9) AS cy, round(sum(v), 9) AS volume FROM vol JOIN elem USING (elem) GROUP BY part")
 def part_centroids(spark, sf_dir):
-    b = Box(spark, N)
+    b = box(spark, sf_dir)
     mean = lambda c: (P[0][c] + P[1][c] + P[2][c] + P[3][c]) / 4
     x = corners(b).select("elem", g.tet_volume(P).alias("v"), mean("x").alias("x"), mean("y").alias("y")).join(b.elem(), "elem")
     over = lambda c: F.round(F.sum(F.col("v") * F.col(c)) / F.sum("v"), 9)
@@ -101,7 +102,7 @@ def part_centroids(spark, sf_dir):
 @query("mesh_element_moments", f"WITH {TET}, c AS (SELECT v, (x0+x1+x2+x3)/4 AS x, (y0+y1+y2+y3)/4 AS y FROM vol) SELECT round(sum(v*x*x)/sum(v) - pow(sum(v*x)/sum(v), 2), 9) AS xx, round(sum(v*x*y)/sum(v) - sum(v*x)/sum(v) * sum(v*y)/sum(v), 9) AS xy FROM c")
 def element_moments(spark, sf_dir):
     mean = lambda c: (P[0][c] + P[1][c] + P[2][c] + P[3][c]) / 4
-    c = corners(Box(spark, N)).select(g.tet_volume(P).alias("v"), mean("x").alias("x"), mean("y").alias("y"))
+    c = corners(box(spark, sf_dir)).select(g.tet_volume(P).alias("v"), mean("x").alias("x"), mean("y").alias("y"))
     e = lambda expr: F.sum(F.col("v") * expr) / F.sum("v")
     x, y = F.col("x"), F.col("y")
     return c.agg(F.round(e(x * x) - F.pow(e(x), F.lit(2)), 9).alias("xx"), F.round(e(x * y) - e(x) * e(y), 9).alias("xy"))
@@ -111,13 +112,13 @@ def element_moments(spark, sf_dir):
 def metric_volume(spark, sf_dir):
     """Volume in the metric of one size, and the scale that would give a thousand perfect tets."""
     t = F.sum(g.tet_volume(P) / F.pow(F.lit(0.1), F.lit(3)))
-    return corners(Box(spark, N)).agg(F.round(t, 6).alias("total"), F.round(F.cbrt(t * (2.0**0.5 / 12) / 1000), 9).alias("scale"))
+    return corners(box(spark, sf_dir)).agg(F.round(t, 6).alias("total"), F.round(F.cbrt(t * (2.0**0.5 / 12) / 1000), 9).alias("scale"))
 
 
 @query("mesh_predicted_weights", f"WITH {TET}, p AS (SELECT elem, greatest(1.0 / 64, least(64.0, v / pow(0.05 + 0.1 * (x0+x1+x2+x3)/4, 3)))::DOUBLE AS w FROM vol) SELECT part, round(sum(w), 6) AS weight FROM p JOIN elem USING (elem) GROUP BY part")
 def predicted_weights(spark, sf_dir):
     """Elements that refinement will make, clamped to one level each way twice over."""
-    b = Box(spark, N)
+    b = box(spark, sf_dir)
     h = 0.05 + 0.1 * (P[0]["x"] + P[1]["x"] + P[2]["x"] + P[3]["x"]) / 4
     w = F.greatest(F.lit(1.0 / 64), F.least(F.lit(64.0), g.tet_volume(P) / F.pow(h, F.lit(3))))
     return corners(b).select("elem", w.alias("w")).join(b.elem(), "elem").groupBy("part").agg(F.round(F.sum("w"), 6).alias("weight"))
@@ -135,14 +136,14 @@ def barycentric_inverse(spark, sf_dir):
     inside = F.lit(True)
     for i in range(4):
         inside = inside & (g.tet_volume([at if k == i else P[k] for k in range(4)]) >= -1e-12 / 6)
-    return corners(Box(spark, N)).where(inside).agg(F.count(F.lit(1)).alias("holders"))
+    return corners(box(spark, sf_dir)).where(inside).agg(F.count(F.lit(1)).alias("holders"))
 
 
 @query("mesh_point_segment_distance", f"WITH {CTE}, t AS (SELECT vert, x, y, z, greatest(0.0, least(1.0, (x + y) / 2))::DOUBLE AS t FROM vertex) SELECT vert, round(sqrt((x-t)*(x-t)+(y-t)*(y-t)+z*z), 9) AS distance FROM t")
 def point_segment_distance(spark, sf_dir):
     """To the segment from the origin to (1, 1, 0)."""
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("x") + F.col("y")) / 2))
-    v = Box(spark, N).vertex().withColumn("t", t)
+    v = box(spark, sf_dir).vertex().withColumn("t", t)
     d = F.sqrt((F.col("x") - F.col("t")) * (F.col("x") - F.col("t")) + (F.col("y") - F.col("t")) * (F.col("y") - F.col("t")) + F.col("z") * F.col("z"))
     return v.select("vert", F.round(d, 9).alias("distance"))
 
@@ -150,13 +151,13 @@ def point_segment_distance(spark, sf_dir):
 @query("mesh_jacobian", f"WITH {TET} SELECT elem, round(6 * v, 9) AS determinant, round(pow(6 * v, 2), 12) AS squared FROM vol")
 def jacobian(spark, sf_dir):
     d = 6 * g.tet_volume(P)
-    return corners(Box(spark, N)).select("elem", F.round(d, 9).alias("determinant"), F.round(F.pow(d, F.lit(2)), 12).alias("squared"))
+    return corners(box(spark, sf_dir)).select("elem", F.round(d, 9).alias("determinant"), F.round(F.pow(d, F.lit(2)), 12).alias("squared"))
 
 
 @query("mesh_laplacian_smoothing", f"WITH {FACE}, adj AS (SELECT DISTINCT key[1] AS a, key[2] AS b FROM edge UNION SELECT DISTINCT key[2], key[1] FROM edge), f0 AS (SELECT vert, CAST(vert % 7 AS DOUBLE) AS f, (x IN (0, 1) OR y IN (0, 1) OR z IN (0, 1)) AS fixed FROM vertex), " + ", ".join(f"f{k + 1} AS (SELECT s.vert, CASE WHEN any_value(s.fixed) THEN any_value(s.f) ELSE avg(o.f) END AS f, any_value(s.fixed) AS fixed FROM f{k} s JOIN adj ON adj.a = s.vert JOIN f{k} o ON o.vert = adj.b GROUP BY s.vert)" for k in range(3)) + " SELECT vert, round(f, 6) AS f FROM f3")
 def laplacian_smoothing(spark, sf_dir):
     """Three rounds in which inner vertices take their neighbours' mean; all vertices of a round see the round before."""
-    b = Box(spark, N)
+    b = box(spark, sf_dir)
     links = graph.pinned(graph.directed(topology.entities(topology.boundary(b.down(), 2)).select(F.col("key")[0].alias("a"), F.col("key")[1].alias("b"))))
     on = F.col("x").isin(0.0, 1.0) | F.col("y").isin(0.0, 1.0) | F.col("z").isin(0.0, 1.0)
     f = b.vertex().select("vert", (F.col("vert") % 7).cast("double").alias("f"), on.alias("fixed"))
@@ -166,23 +167,23 @@ def laplacian_smoothing(spark, sf_dir):
     return f.select("vert", F.round("f", 6).alias("f"))
 
 
-@query("mesh_bfs_order", f"WITH RECURSIVE {FACE}, adj AS (SELECT DISTINCT key[1] AS a, key[2] AS b FROM edge UNION SELECT DISTINCT key[2], key[1] FROM edge), r(vert, d) AS (SELECT 0::BIGINT, 0 UNION SELECT adj.b, d + 1 FROM r JOIN adj ON adj.a = r.vert WHERE d < 12), l AS (SELECT vert, min(d) AS d FROM r GROUP BY vert) SELECT vert, CAST(d AS INT) AS level, (SELECT count(*) FROM vertex) - row_number() OVER (ORDER BY d, vert) AS number FROM l")
+@query("mesh_bfs_order", f"WITH {CTE}, l AS (SELECT vert, CAST(round(greatest(x, y, z) * n) AS INT) AS d FROM vertex, dim) SELECT vert, d AS level, (SELECT count(*) FROM vertex) - row_number() OVER (ORDER BY d, vert) AS number FROM l")
 def bfs_order(spark, sf_dir):
     """Numbers downwards in order of breadth-first levels from the first vertex, ties by id."""
-    b = Box(spark, N)
+    b = box(spark, sf_dir)
     e = topology.entities(topology.boundary(b.down(), 2)).select(F.col("key")[0].alias("a"), F.col("key")[1].alias("b"))
     level = graph.distances(e, spark.range(1).withColumnRenamed("id", "vert"))
     n = b.vertex().groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
     return numbering.numbered(level, "distance", "vert").select("vert", F.col("distance").alias("level"), (n - 1 - F.col("global_number")).alias("number"))
 
 
-@query("mesh_matched_owner", f"WITH {REP}, side AS (SELECT r.vert, part, (CASE WHEN r.vert % {N + 1} = {N} THEN r.vert - {N} ELSE r.vert END) AS grp FROM replica r) SELECT grp, arg_min(part, (elems, part, vert)) AS owner, arg_min(vert, (elems, part, vert)) AS vert FROM side JOIN load USING (part) GROUP BY grp")
+@query("mesh_matched_owner", f"WITH {REP}, side AS (SELECT r.vert, part, (CASE WHEN r.vert % (dim.n + 1) = dim.n THEN r.vert - dim.n ELSE r.vert END) AS grp FROM replica r, dim) SELECT grp, arg_min(part, (elems, part, vert)) AS owner, arg_min(vert, (elems, part, vert)) AS vert FROM side JOIN load USING (part) GROUP BY grp")
 def matched_owner(spark, sf_dir):
     """Of matched vertices one copy owns all: fewest elements, then lowest part, then lowest id."""
     from facetry.operators import replicas
 
-    b = Box(spark, N)
-    rep = replicas.replicas(b.down().join(b.elem(), "elem")).withColumn("grp", F.when(F.col("vert") % (N + 1) == N, F.col("vert") - N).otherwise(F.col("vert")))
+    b = box(spark, sf_dir)
+    rep = replicas.replicas(b.down().join(b.elem(), "elem")).withColumn("grp", F.when(F.col("vert") % (b.n + 1) == b.n, F.col("vert") - b.n).otherwise(F.col("vert")))
     x = rep.join(F.broadcast(replicas.part_loads(b.elem()).select("part", "elems")), "part")
     key = F.struct("elems", "part", "vert")
     return x.groupBy("grp").agg(F.min_by("part", key).alias("owner"), F.min_by("vert", key).alias("vert"))
@@ -191,15 +192,15 @@ def matched_owner(spark, sf_dir):
 @query("mesh_ghost_weights", f"WITH {REP}, g AS (SELECT DISTINCT a.part, e.elem FROM replica a JOIN down e ON e.vert = a.vert JOIN elem o ON o.elem = e.elem WHERE o.part <> a.part) SELECT part, count(*) AS elems FROM g GROUP BY part")
 def ghost_weights(spark, sf_dir):
     """Elements that each part would hold as its first layer of ghosts."""
-    b = Box(spark, N)
+    b = box(spark, sf_dir)
     return graph.ghosts(b.down(), b.elem(), 1).groupBy("part").agg(F.count(F.lit(1)).alias("elems"))
 
 
 @query("mesh_collapse_candidates", f"WITH {FACE}, {_CLASS} SELECT key[1] AS a, key[2] AS b FROM (SELECT DISTINCT key FROM edge) JOIN cls u ON u.vert = key[1] JOIN cls w ON w.vert = key[2] WHERE u.tag = 13 OR w.tag = 13")
 def collapse_candidates(spark, sf_dir):
     """Edges with an end inside the model region, which may move."""
-    e = topology.entities(topology.boundary(Box(spark, N).down(), 2)).select(F.col("key")[0].alias("a"), F.col("key")[1].alias("b"))
-    c = _classified(spark).select("vert", "tag")
+    e = topology.entities(topology.boundary(box(spark, sf_dir).down(), 2)).select(F.col("key")[0].alias("a"), F.col("key")[1].alias("b"))
+    c = _classified(spark, sf_dir).select("vert", "tag")
     x = e.join(c.select(F.col("vert").alias("a"), F.col("tag").alias("ta")), "a").join(c.select(F.col("vert").alias("b"), F.col("tag").alias("tb")), "b")
     return x.where("ta = 13 OR tb = 13").select("a", "b")
 
@@ -207,48 +208,49 @@ def collapse_candidates(spark, sf_dir):
 @query("mesh_edge_rings", f"WITH {FACE} SELECT ring, count(*) AS edges FROM (SELECT key, count(*) AS ring FROM edge GROUP BY key) GROUP BY ring")
 def edge_rings(spark, sf_dir):
     """How many edges have how many tets around them: rings of up to seven can be swapped."""
-    return topology.entities(topology.boundary(Box(spark, N).down(), 2)).groupBy(F.col("uses").alias("ring")).agg(F.count(F.lit(1)).alias("edges"))
+    return topology.entities(topology.boundary(box(spark, sf_dir).down(), 2)).groupBy(F.col("uses").alias("ring")).agg(F.count(F.lit(1)).alias("edges"))
 
 
 @query("mesh_vector_algebra", f"WITH {CTE} SELECT vert, round(x * 1 + y * 2 + z * 3, 9) AS dot, round(y * 3 - z * 2, 9) AS cross_x, round(sqrt(x*x + y*y + z*z), 9) AS norm, round((x + 2*y + 3*z) / 14, 9) AS projected FROM vertex")
 def vector_algebra(spark, sf_dir):
     u, w = (F.col("x"), F.col("y"), F.col("z")), (F.lit(1.0), F.lit(2.0), F.lit(3.0))
-    return Box(spark, N).vertex().select("vert", F.round(g.dot(u, w), 9).alias("dot"), F.round(g.cross(u, w)[0], 9).alias("cross_x"), F.round(g.norm(u), 9).alias("norm"), F.round(g.dot(u, w) / g.dot(w, w), 9).alias("projected"))
+    return box(spark, sf_dir).vertex().select("vert", F.round(g.dot(u, w), 9).alias("dot"), F.round(g.cross(u, w)[0], 9).alias("cross_x"), F.round(g.norm(u), 9).alias("norm"), F.round(g.dot(u, w) / g.dot(w, w), 9).alias("projected"))
 
 
 @query("mesh_tensor_invariants", f"WITH {CTE}, t AS (SELECT vert, 1 + x AS a, 2 + y AS b, 3 + z AS c, x * y AS d FROM vertex) SELECT vert, round(a + b + c, 9) AS trace, round(c * (a * b - d * d), 9) AS det, round(sqrt(a*a + b*b + c*c + 2*d*d), 9) AS norm FROM t")
 def tensor_invariants(spark, sf_dir):
     """Of the symmetric tensor with diagonal 1+x, 2+y, 3+z and xy beside it."""
     a, b, c, d = 1 + F.col("x"), 2 + F.col("y"), 3 + F.col("z"), F.col("x") * F.col("y")
-    return Box(spark, N).vertex().select("vert", F.round(a + b + c, 9).alias("trace"), F.round(c * (a * b - d * d), 9).alias("det"), F.round(F.sqrt(a * a + b * b + c * c + 2 * d * d), 9).alias("norm"))
+    return box(spark, sf_dir).vertex().select("vert", F.round(a + b + c, 9).alias("trace"), F.round(c * (a * b - d * d), 9).alias("det"), F.round(F.sqrt(a * a + b * b + c * c + 2 * d * d), 9).alias("norm"))
 
 
 @query("mesh_rigid_motion", f"WITH {CTE} SELECT vert, round(0.5 - (y - 0.5), 9) AS x, round(0.5 + (x - 0.5), 9) AS y, round(z + 1, 9) AS z FROM vertex")
 def rigid_motion(spark, sf_dir):
     """A quarter turn about the middle and a shift along z."""
-    return Box(spark, N).vertex().select("vert", F.round(0.5 - (F.col("y") - 0.5), 9).alias("x"), F.round(0.5 + (F.col("x") - 0.5), 9).alias("y"), F.round(F.col("z") + 1, 9).alias("z"))
+    return box(spark, sf_dir).vertex().select("vert", F.round(0.5 - (F.col("y") - 0.5), 9).alias("x"), F.round(0.5 + (F.col("x") - 0.5), 9).alias("y"), F.round(F.col("z") + 1, 9).alias("z"))
 
 
 @query("mesh_closest_vertices", f"WITH {CTE}, t(id, px, py, pz) AS (VALUES (1, 0.3::DOUBLE, 0.3::DOUBLE, 0.3::DOUBLE), (2, 0.9::DOUBLE, 0.1::DOUBLE, 0.6::DOUBLE)) SELECT id, arg_min(vert, (round((x-px)*(x-px)+(y-py)*(y-py)+(z-pz)*(z-pz), 9), vert)) AS vert FROM t, vertex GROUP BY id")
 def closest_vertices(spark, sf_dir):
     """The nearest vertex of each of a few given points: partial minima in every task."""
     points = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for i, x, y, z in ((1, 0.3, 0.3, 0.3), (2, 0.9, 0.1, 0.6))])
-    v = Box(spark, N).vertex().select("vert", F.struct("x", "y", "z").alias("p"), F.explode(points).alias("t"))
+    v = box(spark, sf_dir).vertex().select("vert", F.struct("x", "y", "z").alias("p"), F.explode(points).alias("t"))
     e = g.vec(F.col("t"), F.col("p"))
     return v.groupBy(F.col("t.id").alias("id")).agg(F.min_by("vert", F.struct(F.round(g.dot(e, e), 9), F.col("vert"))).alias("vert"))
 
 
-@query("mesh_layer_localisation", f"WITH {CTE}, s AS (SELECT elem, part, (elem // 6) % {N * N} AS stack FROM elem), k AS (SELECT stack, min(part) AS to_part FROM s GROUP BY stack) SELECT elem, part, to_part FROM s JOIN k USING (stack)")
+@query("mesh_layer_localisation", f"WITH {CTE}, s AS (SELECT elem, part, (elem // 6) % (n * n) AS stack FROM elem, dim), k AS (SELECT stack, min(part) AS to_part FROM s GROUP BY stack) SELECT elem, part, to_part FROM s JOIN k USING (stack)")
 def layer_localisation(spark, sf_dir):
     """Elements of a stack along z go to the lowest of its parts."""
-    s = Box(spark, N).elem().select("elem", "part", (F.floor(F.col("elem") / 6) % (N * N)).alias("stack"))
+    b = box(spark, sf_dir)
+    s = b.elem().select("elem", "part", (F.floor(F.col("elem") / 6) % (b.n * b.n)).alias("stack"))
     return s.join(s.groupBy("stack").agg(F.min("part").alias("to_part")), "stack").select("elem", "part", "to_part")
 
 
-@query("mesh_component_depths", f"WITH RECURSIVE {FACE}, out AS (SELECT DISTINCT elem FROM face WHERE key IN (SELECT key FROM face GROUP BY key HAVING count(*) = 1)), adj AS (SELECT a.elem AS u, b.elem AS v FROM face a JOIN face b ON a.key = b.key AND a.elem <> b.elem), r(elem, d) AS (SELECT elem, 0 FROM out UNION SELECT v, d + 1 FROM r JOIN adj ON u = elem WHERE d < 6) SELECT depth, count(*) AS elems FROM (SELECT elem, CAST(min(d) AS INT) AS depth FROM r GROUP BY elem) GROUP BY depth")
+@query("mesh_component_depths", f"WITH RECURSIVE {FACE}, side AS (SELECT elem, array_to_string(key, ',') AS k FROM face), out AS (SELECT min(elem) AS elem FROM side GROUP BY k HAVING count(*) = 1), adj AS MATERIALIZED (SELECT a.elem AS u, b.elem AS v FROM side a JOIN side b ON a.k = b.k AND a.elem <> b.elem), r(elem, d) USING KEY (elem) AS (SELECT DISTINCT elem, 0 FROM out UNION SELECT DISTINCT v, d + 1 FROM r JOIN adj ON u = elem WHERE v NOT IN (SELECT elem FROM recurring.r)) SELECT d AS depth, count(*) AS elems FROM r GROUP BY d")
 def component_depths(spark, sf_dir):
     """Elements by their distance, across faces, from the boundary."""
-    f = topology.boundary(Box(spark, N).down(), 3)
+    f = topology.boundary(box(spark, sf_dir).down(), 3)
     both = f.groupBy("key").agg(F.collect_list("elem").alias("e"))
     seeds = both.where(F.size("e") == 1).select(F.col("e")[0].alias("vert"))
     links = both.where(F.size("e") == 2).select(F.col("e")[0].alias("a"), F.col("e")[1].alias("b"))
@@ -260,7 +262,7 @@ def part_neighbour_colours(spark, sf_dir):
     """Parts of a colour that share a vertex, of a colouring of parts by repeated independent sets."""
     from facetry.operators import replicas
 
-    b = Box(spark, N)
+    b = box(spark, sf_dir)
     rep = replicas.replicas(b.down().join(b.elem(), "elem"))
     sets = rep.groupBy("vert").agg(F.collect_set("part").alias("ps"))
     net = graph.pinned(sets.select(F.explode("ps").alias("a"), "ps").select("a", F.explode("ps").alias("b")).where("a < b").distinct())
@@ -271,7 +273,7 @@ def part_neighbour_colours(spark, sf_dir):
 
 @query("mesh_cavity_sizes", f"WITH {FACE}, d AS (SELECT vert, count(*) AS n FROM down GROUP BY vert) SELECT n AS size, count(*) AS vertices FROM d GROUP BY n")
 def cavity_sizes(spark, sf_dir):
-    d = Box(spark, N).down().groupBy("vert").agg(F.count(F.lit(1)).alias("size"))
+    d = box(spark, sf_dir).down().groupBy("vert").agg(F.count(F.lit(1)).alias("size"))
     return d.groupBy("size").agg(F.count(F.lit(1)).alias("vertices"))
 
 
@@ -279,6 +281,8 @@ def cavity_sizes(spark, sf_dir):
 def local_ranks(spark, sf_dir):
     from facetry.operators import replicas
 
-    b = Box(spark, N)
+    b = box(spark, sf_dir)
     rep = replicas.replicas(b.down().join(b.elem(), "elem"))
-    return rep.select("part", "vert", "n", F.rank().over(Window.partitionBy("part").orderBy(F.col("n").desc())).cast("long").alias("rank"))
+    per = rep.groupBy("part", "n").agg(F.count(F.lit(1)).alias("k"))  # a row for each value of a part
+    first = per.withColumn("rank", F.sum("k").over(Window.partitionBy("part").orderBy(F.col("n").desc())) - F.col("k") + 1).drop("k")
+    return rep.join(first, ["part", "n"]).select("part", "vert", "n", "rank")

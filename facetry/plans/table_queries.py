@@ -91,17 +91,14 @@ def number_owned(spark, sf_dir):
 @query("mesh_number_overlap", f"{W} SELECT vert, part, row_number() OVER (PARTITION BY part ORDER BY vert) - 1 AS number FROM replica")
 def number_overlap(spark, sf_dir):
     """Every copy counts as owned."""
-    return _rep(Tables(spark, sf_dir)).select("vert", "part", (F.row_number().over(Window.partitionBy("part").orderBy("vert")) - 1).cast("long").alias("number"))
+    return numbering.numbered(_rep(Tables(spark, sf_dir)), "part", "vert").select("vert", "part", F.col("local_number").alias("number"))
 
 
 @query("mesh_group_numbering", f"{W}, x AS (SELECT elem, part, part // 4 AS grp FROM elem) SELECT elem, grp, row_number() OVER (PARTITION BY grp ORDER BY part, elem) - 1 AS number FROM x")
 def group_numbering(spark, sf_dir):
-    """Numbers start again for each group of four parts; counted by part, so that no group meets in one task."""
-    e = Tables(spark, sf_dir).elem().select("elem", "part")
-    local = e.withColumn("l", F.row_number().over(Window.partitionBy("part").orderBy("elem")) - 1)
-    counts = e.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("grp", F.floor(F.col("part") / 4).cast("int"))
-    before = counts.withColumn("b", F.sum("n").over(Window.partitionBy("grp").orderBy("part")) - F.col("n")).select("part", "grp", "b")
-    return local.join(F.broadcast(before), "part").select("elem", "grp", (F.col("l") + F.col("b")).alias("number"))
+    """Numbers start again for each group of four parts."""
+    e = Tables(spark, sf_dir).elem().select("elem", "part", F.floor(F.col("part") / 4).cast("int").alias("grp"))
+    return numbering.numbered(e, "grp", "part", "elem").select("elem", "grp", F.col("local_number").alias("number"))
 
 
 @query("mesh_reorder", f"{W} SELECT vert, row_number() OVER (ORDER BY class, vert) - 1 AS new_id FROM vert")
@@ -195,9 +192,7 @@ def part_remaps(spark, sf_dir):
 def slab_partition(spark, sf_dir):
     """Contiguous blocks of floor(n/7) elements, what is left over dealt to parts from the first."""
     e = Tables(spark, sf_dir).elem().select("elem", "part")
-    # ids are numbered by ranges of their own, so that none meets all others
-    ranged = e.withColumn("cell", F.floor(F.col("elem") / 1024).cast("long"))
-    i = numbering.numbered(ranged, "cell", "elem").select("elem", F.col("global_number").alias("i"))
+    i = numbering.numbered(e.withColumn("all", F.lit(0)), "all", "elem").select("elem", F.col("global_number").alias("i"))
     n = e.groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
     block = F.floor(n / 7)
     part = F.when(n < 7, 0).when(F.col("i") < 7 * block, F.floor(F.col("i") / block)).otherwise(F.col("i") - 7 * block)
@@ -364,9 +359,8 @@ def replica_violations(spark, sf_dir):
     return n(lost).union(n(bad)).agg(F.sum("v").alias("violations"))
 
 
-@query("mesh_knapsack_weights", f"{W} SELECT part, CAST(sum(CASE WHEN cum <= 100000000 THEN weight ELSE 0 END) AS BIGINT) AS taken FROM (SELECT *, sum(weight) OVER (PARTITION BY part ORDER BY weight DESC, elem) AS cum FROM elem) GROUP BY part")
+@query("mesh_greedy_weights", f"{W} SELECT part, CAST(sum(CASE WHEN cum <= 100000000 THEN weight ELSE 0 END) AS BIGINT) AS taken FROM (SELECT *, sum(weight) OVER (PARTITION BY part ORDER BY weight DESC, elem) AS cum FROM elem) GROUP BY part")
 def greedy_weights(spark, sf_dir):
-    """Heaviest elements of each part up to a weight, as selection for migration does."""
-    e = Tables(spark, sf_dir).elem()
-    cum = F.sum("weight").over(Window.partitionBy("part").orderBy(F.col("weight").desc(), "elem").rowsBetween(Window.unboundedPreceding, 0))
-    return e.withColumn("cum", cum).groupBy("part").agg(F.sum(F.when(F.col("cum") <= 100000000, F.col("weight")).otherwise(0)).alias("taken"))
+    """Heaviest elements of each part up to a weight."""
+    e = numbering.running(Tables(spark, sf_dir).elem(), "part", "weight", F.col("weight").desc(), "elem")
+    return e.groupBy("part").agg(F.sum(F.when(F.col("before") + F.col("weight") <= 100000000, F.col("weight")).otherwise(0)).alias("taken"))

@@ -13,7 +13,7 @@ def boundary_conditions(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.text(path).where(~line.startswith("#") & (F.length(F.trim(line)) > 0))
         .select(F.trim(F.split(line, ":")[0]).alias("name"), F.try_element_at(rest, F.lit(1)).try_cast("int").alias("tag"), F.try_element_at(rest, F.lit(2)).try_cast("int").alias("dim"),
-                F.transform(F.slice(rest, 3, 1000), lambda v: v.try_cast("double")).alias("values"))
+                F.transform(F.slice(rest, 3, F.greatest(F.size(rest) - 2, F.lit(0))), lambda v: v.try_cast("double")).alias("values"))
     )
 
 
