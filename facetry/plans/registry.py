@@ -1,4 +1,4 @@
 """All registered mesh queries."""
 
-from facetry.plans import balance_queries, box_queries, build_queries, model_queries, table_queries  # noqa: F401
+from facetry.plans import balance_queries, box_queries, build_queries, model_queries, shape_queries, table_queries  # noqa: F401
 from facetry.plans.catalog import ORACLES, QUERIES  # noqa: F401
