@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 WHITESPACE = " \t\n\x0b\x0c\r"
 
 #: A key that holds at least 1/HEAVY_SHARE of all rows is heavy, so there are HEAVY_SHARE heavy keys at most.
-HEAVY_SHARE = 512
+HEAVY_SHARE = 1 << 14
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="facetry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -88,3 +91,31 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     maybe = F.expr(f"coalesce(shiftright(__bits, cast({_slot(key, bits)} & 63 as int)) & 1L = 1L, false)")
     kept = seen.where(~maybe).select(rows.columns)
     return kept.unionByName(seen.where(maybe).select(rows.columns).join(gone, key, "left_anti").select(rows.columns))
+
+
+def resolved(docs: DataFrame, decided: DataFrame, id_col: str, key: Callable[[DataFrame], DataFrame], order: Column, free: int | None = None) -> DataFrame:
+    """The rows of `docs` that stay. `decided`: __id, __key, __keep for each row of `docs`, a written table.
+
+    An id all of whose rows go is taken out by id.  Where an id is null or has rows of both kinds, or several that stay,
+    `key` gives the rows their __key, and of the rows of one id and key that stay the least by `order` (never null) does;
+    rows whose key is `free` all stay.
+    """
+    kind = docs.schema[id_col].dataType
+    per = decided.groupBy("__id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__keep").cast("int")).alias("stay"))
+    odd = written(per.where("__id is null or stay = 0 or n > 1"), "odd-ids")
+    out = without(docs, odd.where("stay = 0 and __id is not null").select(F.col("__id").cast(kind).alias(id_col)), id_col)
+    mixed = odd.where("stay > 0 and __id is not null").select(F.col("__id").cast(kind).alias(id_col))
+    if odd.where("__id is null or stay > 0").isEmpty():
+        return out
+    rows = docs.join(mixed, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    keyed = written(key(rows.select(docs.columns)), "odd-rows")
+    best = keyed.groupBy(F.col(id_col).alias("__id"), "__key").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias("__row"))
+    stay = decided.where("__keep").select(F.col("__id").alias("__i"), F.col("__key").alias("__k")).distinct()
+    same = F.coalesce(F.col("__id"), F.lit(0)).eqNullSafe(F.coalesce(F.col("__i"), F.lit(0))) & (F.col("__id").isNull() == F.col("__i").isNull()) & (F.col("__key") == F.col("__k"))
+    if free is not None:
+        best = best.where(F.col("__key") != F.lit(free))
+    chosen = best.join(stay, same, "left_semi").select("__row.*")
+    if free is not None:
+        chosen = chosen.unionByName(keyed.where(F.col("__key") == F.lit(free)).select(docs.columns))
+    certain = out.where(F.col(id_col).isNotNull()).join(mixed, id_col, "left_anti").select(docs.columns)
+    return certain.unionByName(chosen)

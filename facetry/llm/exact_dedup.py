@@ -6,9 +6,9 @@ the group's size and its smallest identifier among the longest originals.  Diges
 The hits' bits make a filter of bounded size; only texts that pass it are read again and verified byte by byte, by
 grouping on the normalised text itself.  Digests under which verification finds several texts are resolved by text.
 
-Defined results: a null text counts as empty; empty texts are equal to each other; a repeated doc_id with an equal
-text is kept in each row that carries the id kept; null ids never win against others (a group with null ids only
-has keep_id null); an empty table gives no rows; further columns are ignored, whatever their names.
+Defined results: a null text counts as empty; empty texts are equal to each other; `classes` keeps a repeated doc_id
+with an equal text in each row that carries the id kept, `deduplicate` in one of them; an id with different texts is
+decided row by row; null ids never win against others (a group with null ids only has keep_id null); an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.common import WHITESPACE, attach, table, without, written
+from facetry.llm.common import WHITESPACE, attach, resolved, table, written
 
 #: Filter bits for each hit, and the most bits that a filter has (2 MB as broadcast rows).
 BITS_PER_HIT, MOST_BITS = 16, 1 << 23
@@ -88,14 +88,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with the columns of `docs`; rows that repeat an id and its normalised text stay once."""
-    found = written(classes(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "kept"), "dedup-classes")
-    out = without(docs, found.where("not kept"), id_col)
-    repeated = written(found.where("kept").groupBy(id_col).count().where("count > 1").select(id_col), "dedup-repeated")
-    if repeated.isEmpty():
-        return out
-    once = out.join(repeated, out[id_col].eqNullSafe(repeated[id_col]), "left_semi").withColumn("__norm", normalised(F.col(text_col))).dropDuplicates([id_col, "__norm"]).drop("__norm")
-    return out.join(repeated, out[id_col].eqNullSafe(repeated[id_col]), "left_anti").unionByName(once)
+    """The rows of `docs` that stay, one of each group of equal texts, with the columns of `docs`.
+
+    Of rows that repeat the id and the normalised text, the longest original stays, then the least.
+    """
+    found = classes(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__key"), F.col("kept").alias("__keep"))
+    norm = normalised(F.col(text_col))
+    longest = F.struct(-F.char_length(F.coalesce(F.col(text_col), F.lit(""))), F.coalesce(F.col(text_col), F.lit("")))
+    return resolved(docs, written(found, "dedup-classes"), id_col, lambda rows: rows.withColumn("__key", sha256_digest(norm)), longest)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

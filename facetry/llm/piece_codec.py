@@ -77,7 +77,7 @@ def codec(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
 
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids long, n_bytes long, n_decoded long, round_trip boolean")
+    return picked.mapInArrow(tk.returning(run), f"doc_id {kind}, ids array<int>, n_ids long, n_bytes long, n_decoded long, round_trip boolean")
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = pc.DEFAULT_MODEL, most: int = 1 << 20) -> DataFrame:

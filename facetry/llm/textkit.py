@@ -6,6 +6,7 @@ slice or, where one is longer, by the longest text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+
+
+def returning(run):
+    """`run` over batches, after which the worker gives what it freed back to the system: it may stay for other stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 #: Words longer than this are hashed and segmented one at a time.
 LONG = 48
 
