@@ -18,10 +18,11 @@ LEAST_SHARE = 0.35
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a language; a null lang is filled in."""
-    model = language_id.fit(docs.where(~F.coalesce(language_id.held_out(3), F.lit(False))))
-    found = language_id.identify(docs, model, carry={c: F.col(c) for c in docs.columns})
+    model = language_id.fit(docs.where(~language_id.held_out(3)))
+    own = {f"__{i}": docs[c] for i, c in enumerate(docs.columns)}  # whatever the columns are called
+    found = language_id.identify(docs, model, carry=own)
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    return kept.select(*[(F.coalesce(n, "lang_pred") if c == "lang" else F.col(n)).alias(c) for n, c in zip(own, docs.columns, strict=True)])
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
