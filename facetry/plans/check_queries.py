@@ -378,7 +378,7 @@ def domain_loads(spark, sf_dir):
 def edge_field_error(spark, sf_dir):
     """The L2 distance of a field from its edge interpolation, which is exact for this one, by quadrature."""
     from facetry.functions import shapes
-    from facetry.plans.shape_queries import _edge_field
+    from facetry.plans.shape_queries import _edge_field, with_gradients
 
     u = lambda m: (1 + 2 * m["z"] - 3 * m["y"], 2 + 3 * m["x"] - m["z"], 3 + m["y"] - 2 * m["x"])
     p = [P[i] for i in range(4)]
@@ -388,7 +388,7 @@ def edge_field_error(spark, sf_dir):
         x = {k: shapes.weighed([q[k] for q in p], at) for k in "xyz"}
         d = [a - b for a, b in zip(value, u(x), strict=True)]
         total = total + F.lit(6 * w) * g.dot(d, d)
-    return corners(box(spark, sf_dir)).agg(F.round(F.sum(total * g.tet_volume(p)), 9).alias("error"))
+    return with_gradients(corners(box(spark, sf_dir))).agg(F.round(F.sum(total * g.tet_volume(p)), 9).alias("error"))
 
 
 @query("mesh_edge_patches", f"WITH {FACE} SELECT tets, closed, count(*) AS edges FROM (SELECT key, count(*) AS tets, count(DISTINCT x) = count(*) AS closed FROM (SELECT e.key, e.elem, unnest(list_filter(vs, lambda v : v <> e.key[1] AND v <> e.key[2])) AS x FROM edge e JOIN t4 USING (elem)) GROUP BY key) GROUP BY ALL")

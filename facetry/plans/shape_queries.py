@@ -179,9 +179,16 @@ def integration_point_fields(spark, sf_dir):
     return c.select("elem", F.round(values[0], 9).alias("nearest"), F.round(shapes.weighed(values, fit), 9).alias("fitted"), F.round(sum(values, F.lit(0.0)) / 4, 9).alias("mean"))
 
 
+def with_gradients(cells: DataFrame) -> DataFrame:
+    """`cells` with g0 .. g3, the gradients of the barycentric coordinates as arrays, so that they are made once."""
+    p = [P[i] for i in range(4)]
+    grads = [F.array(*g.gradient(p, [F.lit(1.0) if i == k else F.lit(0.0) for i in range(4)])).alias(f"g{k}") for k in range(4)]
+    return cells.select("*", *grads)
+
+
 def _edge_field(p, at, u):
-    """(value, curl) of the lowest edge basis with the tangential moments of `u` (a function of a point)."""
-    grads = [g.gradient(p, [F.lit(1.0) if i == k else F.lit(0.0) for i in range(4)]) for k in range(4)]
+    """(value, curl) of the lowest edge basis with the tangential moments of `u` (a function of a point); needs `with_gradients`."""
+    grads = [tuple(F.col(f"g{k}")[a] for a in range(3)) for k in range(4)]
     value, curl = [F.lit(0.0)] * 3, [F.lit(0.0)] * 3
     for i, j in _EDGE:
         mid = {k: (p[i][k] + p[j][k]) / 2 for k in "xyz"}
@@ -198,7 +205,7 @@ def edge_element_values(spark, sf_dir):
     """The field (1, 2, 3) + (1, 2, 3) x r through the lowest edge elements: values and curl are exact."""
     u = lambda m: (1 + 2 * m["z"] - 3 * m["y"], 2 + 3 * m["x"] - m["z"], 3 + m["y"] - 2 * m["x"])
     value, curl = _edge_field([P[i] for i in range(4)], AT, u)
-    c = corners(box(spark, sf_dir))
+    c = with_gradients(corners(box(spark, sf_dir)))
     return c.select("elem", F.round(value[0], 6).alias("ux"), F.round(value[1], 6).alias("uy"), *[F.round(curl[k], 6).alias(f"curl_{a}") for k, a in enumerate("xyz")])
 
 
