@@ -97,3 +97,21 @@ def ghosts(down: DataFrame, elem: DataFrame, layers: int) -> DataFrame:
         front = pinned(verts.join(inc, "vert").select("part", "elem").distinct().join(found, ["part", "elem"], "left_anti").withColumn("layer", F.lit(k)))
         found = pinned(found.unionByName(front))
     return found.where("layer > 0")
+
+
+def shortest(edges: DataFrame, seeds: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """vert, distance: least sums of weights (edges: a, b, weight) from the seeds (vert, distance), by rounds that only follow what became nearer.
+
+    With `known` (vert, distance), those distances stand, and only vertices without one are found, from the known ones beside them.
+    """
+    links = pinned(edges.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))).alias("e")).select("e.*"))
+    best = pinned((known if known is not None else seeds).select("vert", F.col("distance").cast("double").alias("distance")))
+    fixed = best.select("vert") if known is not None else None
+    front = best
+    while not front.isEmpty():
+        told = links.join(front, links["src"] == front["vert"]).groupBy(F.col("dst").alias("vert")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
+        if fixed is not None:
+            told = told.join(fixed, "vert", "left_anti")
+        front = pinned(told.join(best, "vert", "left").where("distance is null or new < distance").select("vert", F.col("new").alias("distance")))
+        best = pinned(best.join(front.select("vert"), "vert", "left_anti").unionByName(front))
+    return best

@@ -421,3 +421,63 @@ def extrusion_ids(spark, sf_dir):
     m = (b.n + 1) ** 2
     x = b.vertex().where("z = 0").select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("l"), "vert").select((F.col("vert") + F.col("l") * m).alias("gid"))
     return x.agg(F.count_distinct("gid").alias("ids"), F.max("gid").alias("last"))
+
+
+@query("mesh_adapt_settings", "SELECT * FROM (VALUES ('solid', 0.027::DOUBLE, 100.0::DOUBLE, ''), ('surface', 0.2, 2.0, ''), ('wrong', 0.027, 100.0, 'iterations,most_imbalance,snap')) t(name, quality, ratio, faults)")
+def adapt_settings(spark, sf_dir):
+    """Defaults by dimension, and what is found wrong."""
+    from facetry.operators.settings import Settings
+
+    rows = []
+    for name, s in (("solid", Settings()), ("surface", Settings(dimension=2)), ("wrong", Settings(iterations=-1, most_imbalance=0.5, snap=True))):
+        rows.append((name, s.filled().good_quality, s.filled().most_ratio, ",".join(s.faults())))
+    return spark.createDataFrame(rows, "name string, quality double, ratio double, faults string")
+
+
+# --- distances in components
+
+
+def _plane_edges(spark, sf_dir):
+    """a, b, weight: the box's edges that stay in one layer, each of length one."""
+    b = box(spark, sf_dir)
+    v = b.vertex()
+    return b, v, adapt.with_ends(adapt.edges(b.down()), v).where("pa.z = pb.z").select("a", "b", F.lit(1.0).alias("weight"))
+
+
+@query("mesh_component_distance", f"WITH {CTE} SELECT vert, round(greatest(x, y) * n, 6) AS distance FROM vertex, dim WHERE z = 0")
+def component_distance(spark, sf_dir):
+    """Distances inside one layer: links that leave it do not count."""
+    _, v, e = _plane_edges(spark, sf_dir)
+    seeds = v.where("x = 0 and y = 0 and z = 0").select("vert", F.lit(0.0).alias("distance"))
+    return graph.shortest(e, seeds).select("vert", F.round("distance", 6).alias("distance"))
+
+
+@query("mesh_weighted_distance", f"WITH {CTE} SELECT vert, round((x * 2 + y) * n, 6) AS distance FROM vertex, dim WHERE z = 0")
+def weighted_distance(spark, sf_dir):
+    """Distances along the axes of a layer where steps along x cost two."""
+    b = box(spark, sf_dir)
+    v = b.vertex()
+    e = adapt.with_ends(adapt.edges(b.down()), v).where("pa.z = 0 and pb.z = 0 and (pa.x = pb.x or pa.y = pb.y)")
+    e = e.select("a", "b", F.when(F.col("pa.x") != F.col("pb.x"), 2.0).otherwise(1.0).alias("weight"))
+    return graph.shortest(e, v.where("x = 0 and y = 0 and z = 0").select("vert", F.lit(0.0).alias("distance"))).select("vert", F.round("distance", 6).alias("distance"))
+
+
+@query("mesh_disjoint_distances", f"WITH {CTE} SELECT vert, CAST(round(greatest(x, y) * n + z * n * (n + 1)) AS BIGINT) AS distance FROM vertex, dim")
+def disjoint_distances(spark, sf_dir):
+    """Distances from each layer's core, with an offset for each layer, so that their ranges do not meet."""
+    b, v, e = _plane_edges(spark, sf_dir)
+    d = graph.shortest(e, v.where("x = 0 and y = 0").select("vert", F.lit(0.0).alias("distance"))).join(v.select("vert", "z"), "vert")
+    span = d.groupBy("z").agg((F.max("distance") + 1).alias("n"))
+    from facetry.operators.numbering import scanned
+
+    return d.join(scanned(span, "z", "n").select("z", "before"), "z").select("vert", F.round(F.col("distance") + F.col("before")).cast("long").alias("distance"))
+
+
+@query("mesh_updated_distance", f"WITH {CTE} SELECT vert, round(x * n, 6) AS distance FROM vertex, dim")
+def updated_distance(spark, sf_dir):
+    """Distances that are missing on one half are found from the other's, which stand."""
+    b = box(spark, sf_dir)
+    v = b.vertex()
+    e = adapt.edges(b.down()).withColumn("weight", F.lit(1.0))
+    known = v.where("x <= 0.5").select("vert", F.round(F.col("x") * b.n, 6).alias("distance"))
+    return graph.shortest(e, known, known).select("vert", F.round("distance", 6).alias("distance"))
