@@ -288,7 +288,7 @@ def ghost_vertices(spark, sf_dir):
     return near.join(own, ["vert", "part"], "left_anti").groupBy("part").agg(F.count(F.lit(1)).alias("verts"))
 
 
-@query("mesh_ghost_layers_by_faces", f"WITH {REP}, t4 AS (SELECT elem, list(vert ORDER BY pos) AS vs FROM down GROUP BY elem), f AS (SELECT elem, array_to_string(list_sort(k), ',') AS k FROM (SELECT elem, unnest([[vs[1], vs[2], vs[3]], [vs[1], vs[2], vs[4]], [vs[1], vs[3], vs[4]], [vs[2], vs[3], vs[4]]]) AS k FROM t4)), g AS (SELECT DISTINCT p.part, b.elem FROM f a JOIN f b ON a.k = b.k AND a.elem <> b.elem JOIN elem p ON p.elem = a.elem JOIN elem q ON q.elem = b.elem WHERE p.part <> q.part) SELECT part, count(*) AS elems FROM g GROUP BY part")
+@query("mesh_ghost_layers_by_faces", f"WITH {REP}, t4 AS (SELECT elem, list(vert ORDER BY pos) AS vs FROM down GROUP BY elem), f AS MATERIALIZED (SELECT elem, array_to_string(list_sort(k), ',') AS k FROM (SELECT elem, unnest([[vs[1], vs[2], vs[3]], [vs[1], vs[2], vs[4]], [vs[1], vs[3], vs[4]], [vs[2], vs[3], vs[4]]]) AS k FROM t4)), g AS (SELECT DISTINCT p.part, b.elem FROM f a JOIN f b ON a.k = b.k AND a.elem <> b.elem JOIN elem p ON p.elem = a.elem JOIN elem q ON q.elem = b.elem WHERE p.part <> q.part) SELECT part, count(*) AS elems FROM g GROUP BY part")
 def ghost_layers_by_faces(spark, sf_dir):
     """A layer of ghosts across faces instead of vertices."""
     b = box(spark, sf_dir)
@@ -313,7 +313,7 @@ def boundary_distance_order(spark, sf_dir):
     return numbering.numbered(rep.join(shared, "vert"), "part", F.col("copies").desc(), "vert").select("part", "vert", F.col("local_number").alias("place"))
 
 
-@query("mesh_boundary_sides", f"WITH {REP}, t4 AS (SELECT elem, list(vert ORDER BY pos) AS vs FROM down GROUP BY elem), f AS (SELECT elem, array_to_string(list_sort(k), ',') AS k FROM (SELECT elem, unnest([[vs[1], vs[2], vs[3]], [vs[1], vs[2], vs[4]], [vs[1], vs[3], vs[4]], [vs[2], vs[3], vs[4]]]) AS k FROM t4)) SELECT p.part, q.part AS peer, count(*) AS sides FROM f a JOIN f b ON a.k = b.k AND a.elem <> b.elem JOIN elem p ON p.elem = a.elem JOIN elem q ON q.elem = b.elem WHERE p.part <> q.part GROUP BY ALL")
+@query("mesh_boundary_sides", f"WITH {REP}, t4 AS (SELECT elem, list(vert ORDER BY pos) AS vs FROM down GROUP BY elem), f AS MATERIALIZED (SELECT elem, array_to_string(list_sort(k), ',') AS k FROM (SELECT elem, unnest([[vs[1], vs[2], vs[3]], [vs[1], vs[2], vs[4]], [vs[1], vs[3], vs[4]], [vs[2], vs[3], vs[4]]]) AS k FROM t4)) SELECT p.part, q.part AS peer, count(*) AS sides FROM f a JOIN f b ON a.k = b.k AND a.elem <> b.elem JOIN elem p ON p.elem = a.elem JOIN elem q ON q.elem = b.elem WHERE p.part <> q.part GROUP BY ALL")
 def boundary_sides(spark, sf_dir):
     """Faces that each pair of parts shares."""
     b = box(spark, sf_dir)
@@ -321,7 +321,7 @@ def boundary_sides(spark, sf_dir):
     return balance.crossing(links, b.elem()).groupBy("part", "peer").agg(F.count(F.lit(1)).alias("sides"))
 
 
-@query("mesh_contact_neighbour", f"WITH {REP}, t4 AS (SELECT elem, list(vert ORDER BY pos) AS vs FROM down GROUP BY elem), f AS (SELECT elem, array_to_string(list_sort(k), ',') AS k FROM (SELECT elem, unnest([[vs[1], vs[2], vs[3]], [vs[1], vs[2], vs[4]], [vs[1], vs[3], vs[4]], [vs[2], vs[3], vs[4]]]) AS k FROM t4)), s AS (SELECT p.part, q.part AS peer, count(*) AS sides FROM f a JOIN f b ON a.k = b.k AND a.elem <> b.elem JOIN elem p ON p.elem = a.elem JOIN elem q ON q.elem = b.elem WHERE p.part <> q.part GROUP BY ALL) SELECT part, arg_min(peer, (-sides, peer)) AS peer FROM s GROUP BY part")
+@query("mesh_contact_neighbour", f"WITH {REP}, t4 AS (SELECT elem, list(vert ORDER BY pos) AS vs FROM down GROUP BY elem), f AS MATERIALIZED (SELECT elem, array_to_string(list_sort(k), ',') AS k FROM (SELECT elem, unnest([[vs[1], vs[2], vs[3]], [vs[1], vs[2], vs[4]], [vs[1], vs[3], vs[4]], [vs[2], vs[3], vs[4]]]) AS k FROM t4)), s AS (SELECT p.part, q.part AS peer, count(*) AS sides FROM f a JOIN f b ON a.k = b.k AND a.elem <> b.elem JOIN elem p ON p.elem = a.elem JOIN elem q ON q.elem = b.elem WHERE p.part <> q.part GROUP BY ALL) SELECT part, arg_min(peer, (-sides, peer)) AS peer FROM s GROUP BY part")
 def contact_neighbour(spark, sf_dir):
     """The peer with which a part has most faces in common, the lowest of equals."""
     b = box(spark, sf_dir)
@@ -340,7 +340,7 @@ def fix_disconnected(spark, sf_dir):
     return out.agg(F.count(F.lit(1)).alias("elems")).withColumn("fewer", F.lit(bool(after < before)))
 
 
-@query("mesh_component_counts", f"WITH RECURSIVE {CTE}, t4 AS (SELECT elem, list(vert ORDER BY pos) AS vs FROM down GROUP BY elem), f AS (SELECT elem, array_to_string(list_sort(k), ',') AS k FROM (SELECT elem, unnest([[vs[1], vs[2], vs[3]], [vs[1], vs[2], vs[4]], [vs[1], vs[3], vs[4]], [vs[2], vs[3], vs[4]]]) AS k FROM t4)), adj AS MATERIALIZED (SELECT a.elem AS u, b.elem AS v FROM f a JOIN f b ON a.k = b.k AND a.elem <> b.elem WHERE a.elem % 3 = b.elem % 3), r(elem, label) USING KEY (elem) AS (SELECT elem, elem AS label FROM elem UNION SELECT adj.v, min(r.label) FROM r JOIN adj ON adj.u = r.elem JOIN recurring.r c ON c.elem = adj.v WHERE r.label < c.label GROUP BY adj.v) SELECT elem % 3 AS part, count(DISTINCT label) - 1 AS further FROM r GROUP BY 1")
+@query("mesh_component_counts", f"WITH RECURSIVE {CTE}, t4 AS (SELECT elem, list(vert ORDER BY pos) AS vs FROM down GROUP BY elem), f AS MATERIALIZED (SELECT elem, array_to_string(list_sort(k), ',') AS k FROM (SELECT elem, unnest([[vs[1], vs[2], vs[3]], [vs[1], vs[2], vs[4]], [vs[1], vs[3], vs[4]], [vs[2], vs[3], vs[4]]]) AS k FROM t4)), adj AS MATERIALIZED (SELECT a.elem AS u, b.elem AS v FROM f a JOIN f b ON a.k = b.k AND a.elem <> b.elem WHERE a.elem % 3 = b.elem % 3), r(elem, label) USING KEY (elem) AS (SELECT elem, elem AS label FROM elem UNION SELECT adj.v, min(r.label) FROM r JOIN adj ON adj.u = r.elem JOIN recurring.r c ON c.elem = adj.v WHERE r.label < c.label GROUP BY adj.v) SELECT elem % 3 AS part, count(DISTINCT label) - 1 AS further FROM r GROUP BY 1")
 def component_counts(spark, sf_dir):
     """Components of each part beyond the first."""
     b = box(spark, sf_dir)

@@ -69,7 +69,7 @@ def _stored(spark, sf_dir, compressed: bool = False) -> DataFrame:
 
 
 _COUNTS = f"{FACE.replace(CTE, REP)}"
-_PART_COUNTS = f"WITH {_COUNTS} SELECT part, (SELECT count(*) FROM replica r WHERE r.part = e.part) AS vertices, (SELECT count(DISTINCT key) FROM edge JOIN elem x USING (elem) WHERE x.part = e.part) AS edges, (SELECT count(DISTINCT key) FROM face JOIN elem x USING (elem) WHERE x.part = e.part) AS triangles, count(*) AS tets FROM elem e GROUP BY part"
+_PART_COUNTS = f"WITH {_COUNTS}, ed AS (SELECT part, count(DISTINCT key) AS edges FROM edge JOIN elem USING (elem) GROUP BY part), fc AS (SELECT part, count(DISTINCT key) AS triangles FROM face JOIN elem USING (elem) GROUP BY part), vc AS (SELECT part, count(*) AS vertices FROM replica GROUP BY part) SELECT part, vertices, edges, triangles, elems AS tets FROM load JOIN ed USING (part) JOIN fc USING (part) JOIN vc USING (part)"
 
 
 @query("mesh_part_files", _PART_COUNTS)
