@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from facetry.operators import balance, graph, numbering, partition, replicas, topology
 from facetry.plans.box_queries import CTE, REP, centroids_of
+from facetry.plans.build_queries import _SIDES
 from facetry.plans.catalog import query
 from facetry.plans.meshes import PARTS, Tables, box
 from facetry.plans.table_queries import _pairs
@@ -288,7 +289,7 @@ def ghost_vertices(spark, sf_dir):
     return near.join(own, ["vert", "part"], "left_anti").groupBy("part").agg(F.count(F.lit(1)).alias("verts"))
 
 
-@query("mesh_ghost_layers_by_faces", f"WITH {REP}, t4 AS (SELECT elem, list(vert ORDER BY pos) AS vs FROM down GROUP BY elem), f AS MATERIALIZED (SELECT elem, array_to_string(list_sort(k), ',') AS k FROM (SELECT elem, unnest([[vs[1], vs[2], vs[3]], [vs[1], vs[2], vs[4]], [vs[1], vs[3], vs[4]], [vs[2], vs[3], vs[4]]]) AS k FROM t4)), g AS (SELECT DISTINCT p.part, b.elem FROM f a JOIN f b ON a.k = b.k AND a.elem <> b.elem JOIN elem p ON p.elem = a.elem JOIN elem q ON q.elem = b.elem WHERE p.part <> q.part) SELECT part, count(*) AS elems FROM g GROUP BY part")
+@query("mesh_ghost_layers_by_faces", f"{_SIDES}, x AS (SELECT p AS part, q AS peer, hi AS other FROM s WHERE n = 2 AND p <> q UNION ALL SELECT q, p, lo FROM s WHERE n = 2 AND p <> q) SELECT part, count(DISTINCT other) AS elems FROM x GROUP BY part")
 def ghost_layers_by_faces(spark, sf_dir):
     """A layer of ghosts across faces instead of vertices."""
     b = box(spark, sf_dir)
@@ -313,7 +314,7 @@ def boundary_distance_order(spark, sf_dir):
     return numbering.numbered(rep.join(shared, "vert"), "part", F.col("copies").desc(), "vert").select("part", "vert", F.col("local_number").alias("place"))
 
 
-@query("mesh_boundary_sides", f"WITH {REP}, t4 AS (SELECT elem, list(vert ORDER BY pos) AS vs FROM down GROUP BY elem), f AS MATERIALIZED (SELECT elem, array_to_string(list_sort(k), ',') AS k FROM (SELECT elem, unnest([[vs[1], vs[2], vs[3]], [vs[1], vs[2], vs[4]], [vs[1], vs[3], vs[4]], [vs[2], vs[3], vs[4]]]) AS k FROM t4)) SELECT p.part, q.part AS peer, count(*) AS sides FROM f a JOIN f b ON a.k = b.k AND a.elem <> b.elem JOIN elem p ON p.elem = a.elem JOIN elem q ON q.elem = b.elem WHERE p.part <> q.part GROUP BY ALL")
+@query("mesh_boundary_sides", f"{_SIDES}, x AS (SELECT p AS part, q AS peer, hi AS other FROM s WHERE n = 2 AND p <> q UNION ALL SELECT q, p, lo FROM s WHERE n = 2 AND p <> q) SELECT part, peer, count(*) AS sides FROM x GROUP BY ALL")
 def boundary_sides(spark, sf_dir):
     """Faces that each pair of parts shares."""
     b = box(spark, sf_dir)
@@ -321,7 +322,7 @@ def boundary_sides(spark, sf_dir):
     return balance.crossing(links, b.elem()).groupBy("part", "peer").agg(F.count(F.lit(1)).alias("sides"))
 
 
-@query("mesh_contact_neighbour", f"WITH {REP}, t4 AS (SELECT elem, list(vert ORDER BY pos) AS vs FROM down GROUP BY elem), f AS MATERIALIZED (SELECT elem, array_to_string(list_sort(k), ',') AS k FROM (SELECT elem, unnest([[vs[1], vs[2], vs[3]], [vs[1], vs[2], vs[4]], [vs[1], vs[3], vs[4]], [vs[2], vs[3], vs[4]]]) AS k FROM t4)), s AS (SELECT p.part, q.part AS peer, count(*) AS sides FROM f a JOIN f b ON a.k = b.k AND a.elem <> b.elem JOIN elem p ON p.elem = a.elem JOIN elem q ON q.elem = b.elem WHERE p.part <> q.part GROUP BY ALL) SELECT part, arg_min(peer, (-sides, peer)) AS peer FROM s GROUP BY part")
+@query("mesh_contact_neighbour", f"{_SIDES}, x AS (SELECT p AS part, q AS peer, hi AS other FROM s WHERE n = 2 AND p <> q UNION ALL SELECT q, p, lo FROM s WHERE n = 2 AND p <> q) SELECT part, arg_min(peer, (-sides, peer)) AS peer FROM (SELECT part, peer, count(*) AS sides FROM x GROUP BY ALL) GROUP BY part")
 def contact_neighbour(spark, sf_dir):
     """The peer with which a part has most faces in common, the lowest of equals."""
     b = box(spark, sf_dir)
