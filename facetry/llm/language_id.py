@@ -5,11 +5,11 @@ candidates for it.  For the others a word scores its mean log-likelihood ratio u
 Viterbi over a text's words, paying `penalty` for each change of language, labels its spans; the text's language is
 the one with most letters, its score that share of the letters.
 
-Training takes at most `per_lang` texts of each language of at most `most_chars` characters, picked by a hash of the
-text: a bounded sample, both bounds parameters.
+Training takes at most `per_lang` different texts of each language of at most `most_chars` characters, those with the
+least hashes: a bounded sample that no order of the rows changes, both bounds parameters.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and no spans; with nothing to learn
-from, all is `und`; ties go to the language first in order; repeated rows repeat; an empty table gives no rows;
+from, all is `und`; a null doc_id is no held-out one; ties go to the language first in order; repeated rows repeat; an empty table gives no rows;
 further columns are ignored.
 """
 
@@ -28,6 +28,8 @@ from facetry.llm import textkit as tk
 from facetry.llm.common import table
 
 PER_LANG, MOST_CHARS, PENALTY, BUCKETS = 400, 50_000, 6.0, 1 << 16
+#: The score of a language that a word's script rules out: no number of switches costs as much.
+RULED_OUT = np.float32(-1e9)
 #: Words are labelled in windows of this many, each from every state before it, so that long texts run side by side.
 WINDOW = 96
 #: First code points of script ranges and what they write; fixed values of the Unicode blocks.
@@ -159,14 +161,15 @@ def train(rows: list[tuple[str, str]]) -> Model:
 
 
 def word_scores(m: Model, w: Words) -> np.ndarray:
-    """Of each word and language, at most 0; 0 for the best; 0 throughout for a word without letters."""
+    """Of each word and language, at most 0; 0 for the best; RULED_OUT where the script rules it out; 0 throughout for a word without letters."""
     n = len(w.script)
     out = np.zeros((n, len(m.langs)), np.float32)
     have = np.flatnonzero(w.letters)
     if len(have):
         total = np.add.reduceat(m.log[w.tri], w.ptr[:-1][have], axis=0)
-        total[~m.candidate[w.script[have]]] = -1e6
-        out[have] = np.maximum(total - total.max(axis=1, keepdims=True), -12.0)
+        may = m.candidate[w.script[have]]
+        best = np.where(may, total, -np.inf).max(axis=1, keepdims=True)
+        out[have] = np.where(may, np.clip(total - best, -12.0, 0.0), RULED_OUT)
     return out
 
 
@@ -175,7 +178,7 @@ def viterbi(score: np.ndarray, ptr: np.ndarray, penalty: float) -> np.ndarray:
     n, size = len(score), np.diff(ptr)
     n_lang = score.shape[1]
     if not n or n_lang == 1:
-        return np.zeros(n, np.int8)
+        return np.zeros(n, np.int16)
     full = np.flatnonzero(size)
     of = -(-size[full] // WINDOW)
     begin = np.repeat(ptr[:-1][full], of) + WINDOW * (np.arange(int(of.sum())) - np.repeat(np.concatenate([[0], np.cumsum(of)[:-1]]), of))
@@ -187,7 +190,7 @@ def viterbi(score: np.ndarray, ptr: np.ndarray, penalty: float) -> np.ndarray:
     v = np.full((n_win, n_lang, n_lang), -penalty, np.float32)
     v[:, range(n_lang), range(n_lang)] = 0
     stay_bits = np.zeros((int(span_s[0]), n_win, n_lang, n_lang), bool)
-    best_at = np.zeros((int(span_s[0]), n_win, n_lang), np.int8)
+    best_at = np.zeros((int(span_s[0]), n_win, n_lang), np.int16)
     for t in range(int(span_s[0])):
         k = int(np.searchsorted(-span_s, -t, "left"))
         if t:
@@ -204,13 +207,13 @@ def viterbi(score: np.ndarray, ptr: np.ndarray, penalty: float) -> np.ndarray:
     # over the windows of each text, in turn
     first = np.concatenate([[0], np.cumsum(of)[:-1]])
     u = np.zeros((len(full), n_lang), np.float32)
-    came = np.zeros((n_win, n_lang), np.int8)
+    came = np.zeros((n_win, n_lang), np.int16)
     for k in range(int(of.max())):
         t = np.flatnonzero(of > k)
         step = u[t][:, :, None] + v[first[t] + k]
         came[first[t] + k] = step.argmax(axis=1)
         u[t] = step.max(axis=1)
-    last_state, entry = np.zeros(n_win, np.int8), np.zeros(n_win, np.int8)
+    last_state, entry = np.zeros(n_win, np.int16), np.zeros(n_win, np.int16)
     state = u.argmax(axis=1)
     for k in range(int(of.max()) - 1, -1, -1):
         t = np.flatnonzero(of > k)
@@ -218,7 +221,7 @@ def viterbi(score: np.ndarray, ptr: np.ndarray, penalty: float) -> np.ndarray:
         last_state[w] = state[t]
         entry[w] = came[w, state[t]]
         state[t] = entry[w]
-    out = np.zeros(n, np.int8)
+    out = np.zeros(n, np.int16)
     cur, ent = last_state[order].astype(np.int64), entry[order].astype(np.int64)
     for t in range(int(span_s[0]) - 1, -1, -1):
         k = int(np.searchsorted(-span_s, -t, "left"))
@@ -256,17 +259,20 @@ def label(m: Model, data: np.ndarray, offsets: np.ndarray, penalty: float = PENA
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, most_chars: int = MOST_CHARS) -> Model:
     """Learns from a bounded sample of the rows with text and language, picked by a hash of the text."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.char_length(text_col) <= most_chars)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # twice the expected share of each language passes, so that the bound is nearly always met by choice, not by order
+    mark = F.xxhash64("text")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(mark, 0.02).alias("n")).collect()}
+    if not counts:
+        return train([])
+    # somewhat more of each language's different texts pass; those with the least marks are learned, whatever the rows' order
     rate = F.lit(0.0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * per_lang / n))).otherwise(rate)
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate * (1 << 20)).toLocalIterator() if counts else []
-    got: dict[str, list[str]] = {lang: [] for lang in counts}
-    for r in some:
-        if len(got[r["lang"]]) < per_lang:
-            got[r["lang"]].append(r["text"])
-    return train([(t, lang) for lang, texts in got.items() for t in texts])
+    place = F.pmod(mark, F.lit(1 << 30))
+    some = rows.where(place < rate * (1 << 30)).dropDuplicates(["text", "lang"]).select("lang", place.alias("place"), "text")
+    got: dict[str, list[tuple[int, str]]] = {lang: [] for lang in counts}
+    for r in some.toLocalIterator():
+        got[r["lang"]].append((r["place"], r["text"]))
+    return train([(t, lang) for lang in sorted(got) for _, t in sorted(got[lang])[:per_lang]])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: dict[str, Column] | None = None, penalty: float = PENALTY, with_spans: bool = False) -> DataFrame:
@@ -289,7 +295,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: dict[
                     names.append("spans")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    out = picked.mapInArrow(run, f"{kinds}, lang_pred string, score double, n_spans long{extra}")
+    out = picked.mapInArrow(tk.returning(run), f"{kinds}, lang_pred string, score double, n_spans long{extra}")
     return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(carry)], "lang_pred", "score", "n_spans", *(["spans"] if with_spans else []))
 
 
@@ -306,7 +312,8 @@ def _span_array(m: Model, offsets, n_spans, start, end, row, lang) -> pa.Array:
 
 
 def held_out(fold: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % fold == 1
+    """Whether the row is held out; false for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == 1, F.lit(False))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from facetry.llm import language_id as li
+from facetry.llm import textkit as tk
 
 
 def test_viterbi_by_force():
@@ -27,6 +28,51 @@ def test_viterbi_by_force():
                 assert value(score[a:b], got[a:b].tolist()) == best
 
 
+def test_many_languages():
+    """More than fit into a byte."""
+    score = np.full((6, 300), -5, np.float32)
+    score[:3, 140], score[3:, 290] = 0, 0
+    assert li.viterbi(score, np.array([0, 6]), 1.0).tolist() == [140] * 3 + [290] * 3
+
+
+def test_word_scores_by_force():
+    rows = [("the cat sat on the mat and the dog ran", "en"), ("der Hund und die Katze auf der Matte", "de"), ("кошка и собака сидят", "ru")]
+    m = li.train(rows)
+    words = ["the", "Katze", "собака", "кот", "***", "mat7", "9"]
+    data = " ".join(words).encode()
+    low = li.folded(np.frombuffer(data, np.uint8))
+    start, end, _ = tk.words(low, np.array([0, len(data)]))
+    got = li.word_scores(m, li.describe(low, start, end))
+    for k, word in enumerate(words):
+        letters = [ord(c) for c in word.lower() if c.isalpha()]
+        marked = [1, *letters, 1]
+        sums = np.zeros(len(m.langs))
+        for a, b, c in zip(marked, marked[1:], marked[2:], strict=False):
+            h = tk.mix64(np.array([(a * 1_000_003 + b) * 1_000_003 + c], np.uint64))[0]
+            sums += m.log[int(h % np.uint64(li.BUCKETS))]
+        if not letters:
+            assert (got[k] == 0).all()
+            continue
+        may = np.array([(lang == "ru") == (letters[0] > 0x400) for lang in m.langs])
+        want = np.where(may, np.maximum(sums - sums[may].max(), -12), li.RULED_OUT)
+        assert np.allclose(got[k], want, atol=1e-3)
+
+
+def test_a_script_rules_languages_out():
+    m = li.train([("the cat sat on the mat the cat went home", "en"), ("кошка сидела дома на ковре", "ru")])
+    data = np.frombuffer("the cat sat on the mat кошка the cat went home".encode(), np.uint8)
+    _, _, spans, (start, _, _, lang) = li.label(m, data, np.array([0, len(data)]))
+    assert spans[0] == 3 and [m.langs[x] for x in lang].count("ru") == 1 and len(start) == 11
+
+
+def test_sample_does_not_depend_on_order(spark):
+    """A bound below the number of texts, one text in many copies: the same model however the rows are dealt."""
+    rows = [(i, f"wort{i % 400} satz{i} {'ab' * (i % 5)}", "x" if i % 3 else "y") for i in range(1200)] + [(5000 + i, "copied text", "x") for i in range(600)]
+    one = li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2), per_lang=40)
+    two = li.fit(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string").repartition(5), per_lang=40)
+    assert one.langs == two.langs and (one.log == two.log).all()
+
+
 def test_code_points():
     text = "aé日🙂ж"
     cp, _ = li.code_points(np.frombuffer(text.encode(), np.uint8))
