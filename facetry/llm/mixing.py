@@ -7,13 +7,14 @@ taken in that order up to the words still needed.  Then two refill rounds take,
 fit into what is left.  Inclusion odds fall with a document's length (to the power of a quarter), so that a few
 very long documents do not carry a source's quota.
 
-The cut in a ranking is found by a radix descent: word sums per (source, bucket) over 4096 buckets, then 4096
-within the one bucket that holds the cut, then its few rows.  So no task sees a whole source, and what decides a
-row is a handful of numbers of its source.
+The cut in a ranking is found by a radix descent: word sums per (source, bucket) over 4096 buckets of a 32nd octave
+each, then 4096 within the one bucket that holds the cut, then its few rows.  So no task sees a whole source, and what
+decides a row is a handful of numbers of its source.
 
 Defined results: a null or blank text has size 0 and is never taken (taken 0); a null source is a source of its
-own, last in order; ties of rank (repeated ids) are taken together or not at all; an empty table gives no rows;
-further columns are ignored.
+own, last in order; rows with a null doc_id are ranked by a hash of their text; ties of rank (repeated ids, or null
+ids with one text) are taken together or not at all; an empty table gives no rows; further columns are ignored, and
+`mix` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetry.llm.common import table, uniform, written
+from facetry.llm.common import attach, table, uniform, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST_COPIES, REFILLS, SEED = 1.5, 2, 2, 17
-#: Sources up to this many are broadcast as a table of a few numbers each.
+#: Sources up to this many are broadcast as a table of a few numbers each; of more, those that hold many rows.
 MOST_BROADCAST_SOURCES = 20_000
 _RADIX = 4096
 
@@ -65,17 +66,27 @@ def _order(seed: int) -> Column:
     """Random odds over inclusion odds."""
     mean = F.col("source_size") / F.col("n_docs")
     chance = F.least(F.lit(0.999999), F.greatest(F.lit(1e-9), F.col("fraction") / F.sqrt(F.sqrt(F.col("size") / mean))))
-    u = uniform(F.col("doc_id"), seed)
+    u = uniform(F.col("mark"), seed)
     return (u / (1 - u)) / (chance / (1 - chance))
 
 
+def _cell() -> Column:
+    """The small bucket of a rank: a 4096th of a 32nd octave of xi, from 2^-64 to 2^64."""
+    return F.least(F.lit(_RADIX * _RADIX - 1), F.greatest(F.lit(0), F.floor((F.log2("xi") + 64) * 32 * _RADIX))).cast("long")
+
+
+def marked(id_col: str, text_col: str) -> list[Column]:
+    """mark (what a row's random number comes from) and tie (what settles equal ranks)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(text))).alias("mark"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("tie")]
+
+
 def _cuts(rows: DataFrame, need: DataFrame) -> DataFrame:
-    """For each source, the last (xi, doc_id) in order of rank at which the words so far are within `need` (columns source_key, need).
+    """For each source, the last (cell, xi, tie) in order of rank at which the words so far are within `need` (columns source_key, need).
 
-    `rows`: source_key, size, xi, doc_id.  Gives source_key, cut_xi, cut_id, got; sources that take nothing are absent.
+    `rows`: source_key, size, xi, tie.  Gives source_key, cut_cell, cut_xi, cut_id, got; sources that take nothing are absent.
     """
-    place = F.col("xi") / (1 + F.col("xi"))
-    rows = rows.withColumn("b1", F.least(F.lit(_RADIX - 1), F.floor(place * _RADIX))).withColumn("b2", F.least(F.lit(_RADIX * _RADIX - 1), F.floor(place * _RADIX * _RADIX)))
+    rows = rows.withColumn("b2", _cell()).withColumn("b1", F.expr(f"b2 div {_RADIX}"))
 
     def crossing(cells: DataFrame, b: str, base: Column) -> DataFrame:
         # cells: at most _RADIX rows for each source
@@ -87,16 +98,17 @@ def _cuts(rows: DataFrame, need: DataFrame) -> DataFrame:
     all2 = rows.join(at1, ["source_key", "b1"]).groupBy("source_key", "need", "base", "b2").agg(F.sum("size").alias("words"))
     at2 = written(crossing(all2, "b2", F.col("base")), "mix-cut2")
     last = rows.join(at2, ["source_key", "b2"])
-    cum = F.col("base") + F.sum("size").over(Window.partitionBy("source_key").orderBy("xi", "doc_id"))
-    fit = last.withColumn("cum", cum).where("cum <= need").groupBy("source_key").agg(F.max(F.struct("xi", "doc_id")).alias("c"), F.max("cum").alias("got"))
-    # where the cell's first row is already too much, or no cell crosses, the cut is at the cell's edge
-    edge = at2.select("source_key", "need", (F.col("b2") / F.lit(float(_RADIX * _RADIX))).alias("v"), F.col("base").alias("edge_got"))
+    cum = F.col("base") + F.sum("size").over(Window.partitionBy("source_key").orderBy("xi", "tie"))
+    fit = last.withColumn("cum", cum).where("cum <= need").groupBy("source_key").agg(F.max(F.struct("xi", "tie")).alias("c"), F.max("cum").alias("got"))
+    # where the cell's first row is already too much, the cut is before the cell; where no cell crosses, after all
+    edge = at2.select("source_key", F.col("b2").alias("v"), F.col("base").alias("edge_got"))
     whole = rows.groupBy("source_key").agg(F.sum("size").alias("words"))
     return written(
-        need.join(whole, "source_key").join(fit, "source_key", "left").join(edge.drop("need"), "source_key", "left").select(
+        need.join(whole, "source_key").join(fit, "source_key", "left").join(edge, "source_key", "left").select(
             "source_key",
-            F.when(F.col("v").isNull(), F.lit(float("inf"))).otherwise(F.coalesce(F.col("c.xi"), F.col("v") / (1 - F.col("v")))).alias("cut_xi"),
-            F.when(F.col("v").isNull(), F.lit(2**63 - 1)).otherwise(F.coalesce(F.col("c.doc_id"), F.lit(-(2**63)))).cast("long").alias("cut_id"),
+            F.coalesce(F.col("v"), F.lit(2**62)).cast("long").alias("cut_cell"),
+            F.coalesce(F.col("c.xi"), F.lit(-1.0)).alias("cut_xi"),
+            F.coalesce(F.col("c.tie"), F.lit(0)).cast("long").alias("cut_id"),
             F.when(F.col("v").isNull(), F.col("words")).otherwise(F.coalesce(F.col("got"), F.col("edge_got"))).cast("long").alias("got"),
         ),
         "mix-cuts",
@@ -106,7 +118,7 @@ def _cuts(rows: DataFrame, need: DataFrame) -> DataFrame:
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, refills: int = REFILLS) -> tuple[DataFrame, DataFrame]:
     """(rows, sources): rows has source_key, doc_id, source, size; sources has all numbers that `copies` needs."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *marked(id_col, text_col))
     rows = written(rows.withColumn("source_key", key), "mix-rows")
     # each task sums a source's rows first, so that a hot source is a row for each task when it is moved
     sums = rows.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
@@ -114,34 +126,42 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     s = s.withColumn("whole", F.floor(ratio).cast("long")).withColumn("fraction", ratio - F.floor(ratio))
     s = written(s.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
-    few = s.count() <= MOST_BROADCAST_SOURCES
-    small = F.broadcast if few else (lambda d: d)
-    ready = rows.where("size > 0").join(small(s.select("source_key", "source_size", "n_docs", "fraction", "need")), "source_key").where("fraction > 0").withColumn("xi", _order(seed))
-    ready = written(ready.select("source_key", "doc_id", "size", "xi"), "mix-ready")
+    put = _putter(s)
+    ready = put(rows.where("size > 0"), s.select("source_key", "source_size", "n_docs", "fraction", "need")).where("fraction > 0").withColumn("xi", _order(seed))
+    ready = written(ready.select("source_key", "tie", "size", "xi"), "mix-ready")
     left = ready
-    gap = s.select("source_key", F.col("need").alias("gap0"))
+    gap = s.select("source_key", "n_docs", F.col("need").alias("gap0"))
     for k in range(refills + 1):
-        fits = left.join(small(gap), "source_key").where(F.col("size") <= F.col(f"gap{k}")).select("source_key", "doc_id", "size", "xi") if k else left
+        fits = put(left, gap).where(F.col("size") <= F.col(f"gap{k}")).select("source_key", "tie", "size", "xi") if k else left
         cut = _cuts(fits, gap.select("source_key", F.col(f"gap{k}").alias("need")))
-        s = s.join(cut.select("source_key", F.col("cut_xi").alias(f"xi{k}"), F.col("cut_id").alias(f"id{k}"), F.col("got").alias(f"got{k}")), "source_key", "left")
+        s = s.join(cut.select("source_key", F.col("cut_cell").alias(f"cell{k}"), F.col("cut_xi").alias(f"xi{k}"), F.col("cut_id").alias(f"id{k}"), F.col("got").alias(f"got{k}")), "source_key", "left")
         s = s.withColumn(f"gap{k}", F.col("need") if k == 0 else F.col(f"gap{k - 1}") - F.coalesce(F.col(f"got{k - 1}"), F.lit(0)))
         s = written(s.withColumn(f"gap{k + 1}", F.col(f"gap{k}") - F.coalesce(F.col(f"got{k}"), F.lit(0))), "mix-plan").drop(f"gap{k + 1}")
         if k < refills:
-            gap = s.select("source_key", (F.col(f"gap{k}") - F.coalesce(F.col(f"got{k}"), F.lit(0))).alias(f"gap{k + 1}"), F.col(f"xi{k}"), F.col(f"id{k}"))
-            before = small(gap.select("source_key", f"xi{k}", f"id{k}"))
-            left = left.join(before, "source_key").where(~_within(k)).select("source_key", "doc_id", "size", "xi")
-            gap = gap.select("source_key", f"gap{k + 1}")
+            gap = s.select("source_key", "n_docs", (F.col(f"gap{k}") - F.coalesce(F.col(f"got{k}"), F.lit(0))).alias(f"gap{k + 1}"), f"cell{k}", f"xi{k}", f"id{k}")
+            before = gap.select("source_key", "n_docs", f"cell{k}", f"xi{k}", f"id{k}")
+            left = put(left, before).where(~_within(k)).select("source_key", "tie", "size", "xi")
+            gap = gap.select("source_key", "n_docs", f"gap{k + 1}")
     return rows, s
 
 
+def _putter(sources: DataFrame):
+    """How rows get the numbers of their source: all sources broadcast, or of very many only those that hold many rows."""
+    if sources.count() <= MOST_BROADCAST_SOURCES:
+        return lambda rows, s: rows.join(F.broadcast(s), "source_key")
+    total = sources.agg(F.sum("n_docs")).first()[0]
+    return lambda rows, s: attach(rows, s, "source_key", "n_docs", total)
+
+
 def _within(k: int) -> Column:
-    return F.coalesce((F.col("xi") < F.col(f"xi{k}")) | ((F.col("xi") == F.col(f"xi{k}")) & (F.col("doc_id") <= F.col(f"id{k}"))), F.lit(False))
+    cell, xi = _cell(), F.col("xi")
+    same = (cell == F.col(f"cell{k}")) & ((xi < F.col(f"xi{k}")) | ((xi == F.col(f"xi{k}")) & (F.col("tie") <= F.col(f"id{k}"))))
+    return F.coalesce((cell < F.col(f"cell{k}")) | same, F.lit(False))
 
 
 def copies(rows: DataFrame, sources: DataFrame, seed: int = SEED, refills: int = REFILLS) -> DataFrame:
-    """`rows` (doc_id, source_key, size and others) with source_size, target and copies; decided from the row and its source's numbers alone."""
-    few = sources.count() <= MOST_BROADCAST_SOURCES
-    x = rows.join(F.broadcast(sources.drop("source")) if few else sources.drop("source"), "source_key").withColumn("xi", F.when((F.col("size") > 0) & (F.col("fraction") > 0), _order(seed)))
+    """`rows` (source_key, size, mark, tie and others) with source_size, target and copies; decided from the row and its source's numbers alone."""
+    x = _putter(sources)(rows, sources.drop("source")).withColumn("xi", F.when((F.col("size") > 0) & (F.col("fraction") > 0), _order(seed)))
     hit = F.lit(False)
     for k in range(refills + 1):
         hit = hit | (_within(k) & (F.col("size") <= F.col(f"gap{k}")))
@@ -153,8 +173,9 @@ def mix(docs: DataFrame) -> DataFrame:
     """`docs`, each row as often as the mix takes it, with the columns of `docs`."""
     _, sources = plan(docs)
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    out = copies(docs.withColumn("source_key", key).withColumn("size", n_words(F.col("text"))), sources)
-    return out.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("source_key"), n_words(F.col("text")).alias("size"), *marked("doc_id", "text"))
+    out = copies(packed, sources)
+    return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,15 @@ def test_collisions_are_resolved_by_bytes(spark):
     assert got(exact_dedup.classes(docs, digest=weak)) == brute(ROWS)
 
 
+def test_deduplicate_by_row(spark):
+    """An id that repeats with different texts is decided row by row; null ids too."""
+    rows = [(1, "foo"), (5, "foo"), (5, "bar"), (None, "bar "), (None, "baz"), (None, "baz"), (7, "q"), (7, "q "), (7, "q")]
+    docs = spark.createDataFrame([(i, t, "a", 1, 2) for i, t in rows], "doc_id long, text string, kept string, n int, digest int")
+    out = exact_dedup.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, "foo"), (5, "bar"), (None, "baz"), (7, "q ")], key=str)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.classes(docs).count() == 0 and mixing.mix(docs).count() == 0
@@ -66,3 +75,29 @@ def test_mix(spark):
         assert target <= 2 * size + 1e-9 and 0 <= target - taken <= 14
     assert mixing.mix(docs).count() == sum(r.copies for r in out)
     assert mixing.mix(docs).columns == docs.columns
+
+
+def test_mix_with_null_ids_and_clashing_names(spark):
+    """Rows without an id are ranked by their text, so sources meet their targets; columns of any name are kept as they are."""
+    rows = [(None if i % 2 else i, f"t{i} " + "w " * (i % 9), "abc"[i % 3], 777, 0.5, "k", 3, 4) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, xi double, source_key string, target int, rank int")
+    plan, sources = mixing.plan(docs)
+    by = defaultdict(lambda: [0, 0.0])
+    for r in mixing.copies(plan, sources).collect():
+        by[r.source][0] += r.size * r.copies
+        by[r.source][1] = r.target
+    assert len(by) == 3 and all(0 <= target - taken <= 12 for taken, target in by.values())
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and {(r.size, r.xi, r.source_key, r.target, r.rank) for r in out.collect()} == {(777, 0.5, "k", 3, 4)}
+
+
+def test_mix_with_many_sources(spark):
+    """More sources than are broadcast: the same result."""
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 7}" if i % 3 else "hot") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = lambda: {(r.doc_id, r.copies) for r in mixing.copies(*mixing.plan(docs)).collect()}
+    want, mixing.MOST_BROADCAST_SOURCES = got(), 2
+    try:
+        assert got() == want
+    finally:
+        mixing.MOST_BROADCAST_SOURCES = 20_000
