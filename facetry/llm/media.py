@@ -1,6 +1,6 @@
 """Media columns: content-addressed payloads in tar shards, with metadata from header-only range reads.
 
-A text's UTF-8 bytes, padded with 0 to a positive multiple of 64, are the samples of an 8-bit grey PNG 64 wide.
+A text's UTF-8 bytes, padded with 0 to a positive multiple of 64, are the samples of an 8-bit grey PNG of one line.
 Each task appends the pictures it has not stored yet to tar shards of bounded size in the shared folder, named by
 the SHA-256 of their payload; rows carry digest, shard, offset and length.  Compaction keeps one place for each
 digest; a picture stored by two tasks stays in the other shard unreferenced.  Metadata come from a range read of the
@@ -49,11 +49,8 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def encode_png(samples: bytes) -> bytes:
-    rows = np.frombuffer(samples, np.uint8).reshape(-1, WIDTH)
-    lines = np.zeros((len(rows), WIDTH + 1), np.uint8)
-    lines[:, 1:] = rows
-    head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
+    head = struct.pack(">IIBBBBB", len(samples), 1, 8, 0, 0, 0, 0)
+    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(b"\0" + samples, 6)) + _chunk(b"IEND", b"")
 
 
 def png_header(first: bytes) -> tuple[int, int, int]:
@@ -173,16 +170,15 @@ def metadata(places: DataFrame, folder: str) -> DataFrame:
 
 
 def features(places: DataFrame, folder: str) -> DataFrame:
-    """digest, what the header says and what the stored bytes, read back whole, say; with the rows of each digest."""
+    """digest and what the stored bytes, read back whole, say; with the rows of each digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _ranges(batches, folder, False):
             rows = []
-            for digest, head, data, n in some:
+            for digest, _, data, n in some:
                 body = decode_png(data)
-                w, h, bits = png_header(head)
                 x = np.frombuffer(body, np.uint8)
-                rows.append((digest, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), n, f"png:{w}x{h}:{bits}:sum={int(x.sum(dtype=np.int64))};max={int(x.max())};zero={int((x == 0).sum())};high={int((x > 127).sum())}"))
+                rows.append((digest, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), n, f"png:sum={int(x.sum(dtype=np.int64))};max={int(x.max())};zero={int((x == 0).sum())};high={int((x > 127).sum())}"))
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
             names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "group_size", "feature"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -191,13 +187,15 @@ def features(places: DataFrame, folder: str) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, n_bytes; digest, shard, offset, length of the stored picture; width, height, bits from its header; what its bytes say."""
     folder = folder or scratch_path(docs.sparkSession, "media-shards")
     rows = store(docs, folder, shard_bytes=shard_bytes)
     places = written(index(rows), "media-index")
     full = written(features(places, folder), "media-features")
-    return attach(rows.drop("shard", "offset", "length"), full, "digest", "group_size", rows.count())
+    known = places.join(metadata(places, folder), "digest").join(full.drop("group_size"), "digest")
+    return attach(rows.drop("shard", "offset", "length"), written(known, "media-known"), "digest", "group_size", rows.count())
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media_columns(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length", "width", "height", "bits")

@@ -56,7 +56,8 @@ def test_media(spark, tmp_path):
         r = out[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(body), hashlib.sha256(body).hexdigest())
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(body[-64:]), len(png), hashlib.sha256(png).hexdigest())
-        assert r.feature.startswith(f"png:64x{len(body) // 64}:8:sum={sum(body)};")
+        assert r.feature.startswith(f"png:sum={sum(body)};") and (r.width, r.height, r.bits) == (len(body), 1, 8)
+        assert (r.digest, r.length) == (r.payload_sha256, r.media_bytes) and r.shard.endswith(".tar") and r.offset % 512 == 0
     names = set()
     for p in (tmp_path / "shards").iterdir():
         with tarfile.open(fileobj=io.BytesIO(p.read_bytes())) as t:
