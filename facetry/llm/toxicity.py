@@ -10,7 +10,7 @@ labelled texts of the training fold that are no longer: a bounded sample, both b
 log-odds of words and character features are learned, of label 0 those and others.
 
 Defined results: null and blank texts are a window without words; without labels, or with labels of one kind only, all
-texts get the share of label 1 (0 without any); repeated rows repeat; an empty table gives no rows; further columns are
+texts get the share of label 1 (0 without any); a null doc_id is no held-out one and has no label; repeated rows repeat; an empty table gives no rows; further columns are
 ignored.  A run of over 48 bytes without white space enters as overlapping pieces of whole characters.
 """
 
@@ -42,12 +42,13 @@ _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 def trimmed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words without ASCII punctuation at their ends; a word of nothing else stays."""
     start, end, row = tk.words(data, offsets)
-    for _ in range(8):
-        cut = (end - start > 1) & _PUNCT[data[np.maximum(end - 1, 0)]] if len(end) else np.zeros(0, bool)
-        end = end - cut
-        cut = (end - start > 1) & _PUNCT[data[start]] if len(end) else np.zeros(0, bool)
-        start = start + cut
-    return start, end, row
+    other = np.flatnonzero(~_PUNCT[data])
+    if not len(other) or not len(start):
+        return start, end, row
+    first = other[np.minimum(np.searchsorted(other, start), len(other) - 1)]
+    last = other[np.maximum(np.searchsorted(other, end) - 1, 0)]
+    on = (first >= start) & (first < end)
+    return np.where(on, first, start), np.where(on, last + 1, end), row
 
 
 def pieces_of_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

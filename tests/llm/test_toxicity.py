@@ -143,3 +143,50 @@ def test_long_runs_are_read_to_their_end():
         (_, _, data, offsets), = tk.slices(pa.array([sep.join(clean), sep.join(toxic)]))
         x, _ = tx.score_slice(net, data, offsets)
         assert x[1] > 2 * x[0], (sep, x)  # equal while byte 48 was the last one read
+
+
+def slow_score(net, text):
+    """Score of one text: every window word by word, with plain formulas."""
+    low = tx.folded(np.frombuffer((text or "").encode(), np.uint8))
+    start, end, row = tx.pieces_of_runs(low, *tx.trimmed_words(low, np.array([0, len(low)])))
+    w, sig, vectors = net.w, lambda x: 1 / (1 + np.exp(-x)), []
+    for a, b in zip(start, end, strict=True):
+        h = int(tk.hashes(low, np.array([a]), np.array([b]))[0])
+        at = int(np.searchsorted(net.known, h))
+        known = at + 1 if at < len(net.known) and int(net.known[at]) == h else 0
+        feats, _ = tx.char_features(low, np.array([a]), np.array([b]))
+        chars = sum((w["char"][f].astype(float) for f in feats), np.zeros(tx.CHAR_DIM)) / np.sqrt(max(1, len(feats)))
+        vectors.append(np.concatenate([w["word"][known], chars]))
+    n, logits, first = len(vectors), [], 0
+    while True:
+        some = vectors[first : first + tx.WIDTH]
+        states = []
+        for side, order in (("f", range(len(some))), ("b", range(len(some) - 1, -1, -1))):
+            h, out = np.zeros(tx.HIDDEN), {}
+            for t in order:
+                x, g = some[t] @ w[f"W{side}"] + w[f"c{side}"], h @ w[f"U{side}"]
+                z, r = sig(x[: tx.HIDDEN] + g[: tx.HIDDEN]), sig(x[tx.HIDDEN : 2 * tx.HIDDEN] + g[tx.HIDDEN : 2 * tx.HIDDEN])
+                c = np.tanh(x[2 * tx.HIDDEN :] + r * g[2 * tx.HIDDEN :])
+                h = out[t] = z * h + (1 - z) * c
+            states.append(out)
+        both = [np.concatenate([states[0][t], states[1][t]]) for t in range(len(some))]
+        e = np.array([np.tanh(s @ w["A"] + w["a"]) @ w["v"] for s in both])
+        att = np.exp(e - e.max()) / np.exp(e - e.max()).sum() if len(e) else e
+        logits.append(float(sum((a * s for a, s in zip(att, both, strict=True)), np.zeros(2 * tx.HIDDEN)) @ w["o"] + w["k"][0]))
+        if first + tx.WIDTH >= n:
+            break
+        first += tx.STRIDE
+    top = sorted(np.clip(logits, -12, 12), reverse=True)
+    return float(sig(np.array([1.0, top[0], top[min(1, len(top) - 1)]]) @ np.array(net.scale)))
+
+
+def test_scores_by_force():
+    """The fast path gives what a pass over all windows of all words gives."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice(["ka", "lo", "mi", "tu", "re", "日本", "é", "_"]) for _ in range(rnd.randint(1, 4))) + rnd.choice(["", "!!!", ",", "..............."])
+    rows = [(" ".join(word() if rnd.random() > 0.1 or i % 2 else "vile" for _ in range(rnd.randint(5, 130))), int(i % 2 == 0)) for i in range(60)]
+    net = tx.train(rows)
+    texts = [t for t, _ in rows[:12]] + ["", None, " \n ", "***", "--vile--", "x" * 300, "a_" * 200 + "vile", " ".join(word() for _ in range(400)) + " vile", "日本" * 60]
+    for _, _, data, offsets in tk.slices(pa.array(texts, pa.large_string())):
+        got, _ = tx.score_slice(net, data, offsets)
+        assert np.allclose(got, [slow_score(net, t) for t in texts], atol=2e-4)
