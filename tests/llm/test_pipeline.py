@@ -3,6 +3,8 @@
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from facetry.llm import language_id as li
 from facetry.llm.common import written
@@ -73,3 +75,15 @@ def test_empty(spark):
     for _, stage in cp.STAGES:
         docs = written(stage(spark, docs, ""), "empty")
     assert docs.count() == 0 and li.PER_LANG > 0
+
+
+def test_clashing_names(spark):
+    """Every stage on documents with columns that are called what the operators call their own."""
+    d = "/root/testdata/sf0.001"
+    more = ["score", "lang_pred", "size", "target", "xi", "source_key", "rank", "node", "keep", "digest", "copies", "n_spans"]
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(40)
+    docs = written(docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(more)]), "clash")
+    for _, stage in cp.STAGES[:-1]:
+        docs = written(stage(spark, docs, d), "clash")
+        assert docs.columns == COLS + more and [tuple(r) for r in docs.select(more).distinct().collect()] == [tuple(range(len(more)))]
+    assert cp.STAGES[-1][1](spark, docs, d).count() == docs.count()
