@@ -39,7 +39,7 @@ from facetry.llm.common import attach, resolved, table, written
 from facetry.llm.components import components
 
 #: Shingles in a block of a large component; nodes in a block of a large cell; pivots of one; cells of one flush; buckets for each shuffle partition.
-BLOCK, CELL_BLOCK, PIVOTS, FLUSH, BUCKETS = 1 << 17, 4096, 8, 1_000_000, 4
+BLOCK, CELL_BLOCK, PIVOTS, FLUSH, BUCKETS = 1 << 17, 4096, 8, 1_000_000, 2
 #: Nodes of a cell up to which it is a single leaf.
 SMALL = 48
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -154,7 +154,8 @@ def folded(bits: list[bytes], width: int | None = None) -> np.ndarray:
 _SCHEMA = "kind int, doc_id long, n long, node long, bits binary, bucket int, cell binary, hold binary, name long"
 _TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
 _NAMES = ["kind", "doc_id", "n", "node", "bits", "bucket", "cell", "hold", "name"]
-_MEMBER = "node long, ent int, spare int, n long, cell long, size long"
+#: Members of cells: info is 2 * spare + class, both the cell's size (upper half) and the set's.
+_MEMBER = "node long, info int, cell long, both long"
 
 
 def _batch(size: int, **columns) -> pa.RecordBatch:
@@ -171,14 +172,14 @@ class Entries:
         """The entries named by `at`, each once, and then `at` in terms of these."""
         names, at = np.unique(at, return_inverse=True)
         small = len(names) < 65536
-        return np.array([len(names)], "<i8").tobytes() + self.node[names].astype("<i8").tobytes() + self.n[names].astype("<i8").tobytes() + self.info[names].astype("<u4").tobytes() + at.astype("<u2" if small else "<u4").tobytes()
+        return np.array([len(names)], "<i8").tobytes() + self.node[names].astype("<i8").tobytes() + self.n[names].astype("<u4").tobytes() + self.info[names].astype("<u4").tobytes() + at.astype("<u2" if small else "<u4").tobytes()
 
     @staticmethod
     def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(node, n, info) of each place."""
         k = int(np.frombuffer(b, "<i8", 1)[0])
-        at = np.frombuffer(b, "<u2" if k < 65536 else "<u4", -1, 8 + 20 * k)
-        return tuple(np.frombuffer(b, kind, k, 8 + off * k)[at] for kind, off in (("<i8", 0), ("<i8", 8), ("<u4", 16)))
+        at = np.frombuffer(b, "<u2" if k < 65536 else "<u4", -1, 8 + 16 * k)
+        return tuple(np.frombuffer(b, kind, k, 8 + off * k)[at] for kind, off in (("<i8", 0), ("<u4", 8), ("<u4", 12)))
 
 
 def _scan(num: int, den: int, k: int, buckets: int, small: int):
@@ -274,8 +275,8 @@ def _meet(t: pa.Table) -> pa.Table:
     pad = len(apart)
     some = lambda x, kind: pa.concat_arrays([pa.array(x[on], kind), pa.nulls(pad, kind)])
     return pa.table({
-        "node": some(node, pa.int64()), "ent": some((info & 1).astype(np.int32), pa.int32()), "spare": some((info >> 1).astype(np.int32), pa.int32()), "n": some(n, pa.int64()),
-        "cell": pa.array(np.concatenate([name[on] | bucket, apart | bucket]).astype(np.int64)), "size": pa.array(np.concatenate([size[on], apart_size])),
+        "node": some(node, pa.int64()), "info": some(info.astype(np.int32), pa.int32()), "cell": pa.array(np.concatenate([name[on] | bucket, apart | bucket]).astype(np.int64)),
+        "both": pa.array(np.concatenate([(size[on] << 32) + n[on], apart_size << 32])),
     })
 
 
@@ -284,7 +285,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for cell, hold, size in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
             node, n, info = Entries.unpack(hold)
-            yield pa.RecordBatch.from_pydict({"node": node, "ent": (info & 1).astype(np.int32), "spare": (info >> 1).astype(np.int32), "n": n, "cell": np.full(len(node), cell), "size": np.full(len(node), size)})
+            yield pa.RecordBatch.from_pydict({"node": node, "info": info.astype(np.int32), "cell": np.full(len(node), cell), "both": (size << 32) + n.astype(np.int64)})
 
 
 def _possible(num: int, den: int):
@@ -481,11 +482,12 @@ def _candidates(scan: DataFrame, nodes: DataFrame, num: int, den: int, small: in
     met = written(scan.where("kind = 1").select("bucket", "cell", "hold").groupBy("bucket").applyInArrow(_meet, _MEMBER), "ngram-met")
     members, apart = met.where("node is not null"), scan.where("kind = 2").select(F.col("name").alias("cell"), "hold")
     if not apart.isEmpty():
-        sizes = met.where("node is null").select("cell", "size")
+        sizes = met.where("node is null").select("cell", F.shiftright("both", 32).alias("size"))
         members = members.unionByName(apart.join(sizes, "cell").select("cell", "hold", "size").mapInArrow(_spread, _MEMBER))
     # each set leaves out its commonest cells
-    rank = F.dense_rank().over(Window.partitionBy("node", "ent").orderBy(F.desc("size"), F.desc("cell")))
-    kept = written(members.withColumn("r", rank).where("r > spare").select("cell", "node", "n", "size"), "ngram-kept")
+    rank = F.dense_rank().over(Window.partitionBy("node", F.col("info") % 2).orderBy(F.desc("both"), F.desc("cell")))
+    kept = members.withColumn("r", rank).where("r > shiftright(info, 1)")
+    kept = written(kept.select("cell", "node", F.expr("both & 4294967295").alias("n"), F.shiftright("both", 32).alias("size")), "ngram-kept")
     common = kept.where(F.col("size") > small)
     sized = attach(common, common.groupBy("cell").agg(F.count(F.lit(1)).alias("members")), "cell", "members", common.count())
     sized = written(sized, "ngram-common")
