@@ -72,12 +72,16 @@ def fields(rep: DataFrame, values: DataFrame, check: str = "no value") -> DataFr
     return _rows(rep.select("vert", "part").join(values.where("value is not null").select("vert", "part"), ["vert", "part"], "left_anti"), check, F.col("vert"))
 
 
-def summary(*found: DataFrame) -> DataFrame:
-    """check, violations: how many rows break each rule."""
+def summary(*found: DataFrame, checks: tuple[str, ...] = ()) -> DataFrame:
+    """check, violations: how many rows break each rule; those named in `checks` get a row of 0 where nothing breaks them."""
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.groupBy("check").agg(F.count(F.lit(1)).alias("violations"))
+    out = out.select("check", F.lit(1).cast("long").alias("n"))
+    if checks:
+        named = out.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, checks))).alias("check"), F.lit(0).cast("long").alias("n"))
+        out = out.unionByName(named)
+    return out.groupBy("check").agg(F.sum("n").alias("violations"))
 
 
 Check = Callable[..., DataFrame]

@@ -90,7 +90,7 @@ def verify_remotes(spark, sf_dir):
     _, rep = _parts(spark, sf_dir)
     true = _remotes(rep)
     stated = true.where("vert % 3 <> 0").unionByName(true.where("vert % 3 <> 0 and part = 0").select("vert", "part", (F.col("peer") + 100).alias("peer")))
-    return verify.summary(verify.replicas(rep, stated))
+    return verify.summary(verify.replicas(rep, stated), checks=("remote not stated", "remote not there"))
 
 
 @query("mesh_verify_ghosts", f"WITH {CTE} SELECT * FROM (VALUES ('ghost of nothing', 2::BIGINT), ('ghost at home', 3)) t(\"check\", violations)")
@@ -108,7 +108,7 @@ def verify_copies(spark, sf_dir):
     _, rep = _parts(spark, sf_dir)
     first = rep.groupBy("vert").agg(F.min("part").alias("first"))
     x = rep.join(first, "vert").select("vert", F.when((F.col("vert") % 2 == 0) & (F.col("part") == F.col("first")), 1).otherwise(0).alias("f"), F.when((F.col("vert") % 5 == 0) & (F.col("part") == F.col("first")), 4).otherwise(2).alias("flag"))
-    return verify.summary(verify.agreement(x, "vert", "f", "field"), verify.agreement(x, "vert", "flag", "flag"))
+    return verify.summary(verify.agreement(x, "vert", "f", "field"), verify.agreement(x, "vert", "flag", "flag"), checks=("field", "flag"))
 
 
 @query("mesh_verify_matches", f"WITH {CTE} SELECT 'match not mutual' AS \"check\", count(*) FILTER (WHERE vert % 4 = 0) AS violations FROM vertex WHERE x = 1 UNION ALL SELECT 'match of itself', 1")
@@ -116,7 +116,7 @@ def verify_matches(spark, sf_dir):
     b = box(spark, sf_dir)
     m = b.vertex().where("x = 1").select("vert", (F.col("vert") - b.n).alias("match"))
     back = m.where("vert % 4 <> 0").select(F.col("match").alias("vert"), F.col("vert").alias("match"))
-    return verify.summary(verify.matches(m.unionByName(back).unionByName(spark.createDataFrame([(10**9, 10**9)], "vert long, match long"))))
+    return verify.summary(verify.matches(m.unionByName(back).unionByName(spark.createDataFrame([(10**9, 10**9)], "vert long, match long"))), checks=("match not mutual", "match of itself"))
 
 
 _MF = "f AS (SELECT list_sort(k) AS k FROM (SELECT unnest([[vs[1], vs[2], vs[3]], [vs[1], vs[2], vs[4]], [vs[1], vs[3], vs[4]], [vs[2], vs[3], vs[4]]]) AS k FROM (SELECT list(vert ORDER BY pos) AS vs FROM down GROUP BY elem)) GROUP BY k HAVING count(*) = 1)"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from facetry.functions import shapes
 from facetry.operators import adapt, balance, build, numbering, tags, topology, verify
+from facetry.plans import check_queries
 from facetry.sources import binary, solver, vtk
 
 POINTS = [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (1.0, 1.0, 1.0)]
@@ -156,3 +157,12 @@ def test_mixed_assembly_and_checks(spark):
     assert {(r.vert, r.part) for r in rep.where("copies = 2").collect()} == {(v, p) for v in (0, 1, 2) for p in (0, 1)} and own.count() == 7
     assert verify.summary(verify.matches(spark.createDataFrame([(1, 2), (2, 1), (3, 3), (4, 5)], "vert long, match long"))).count() == 2
     assert topology.neighbours(topology.boundary(tets.select("elem", F.posexplode("verts").alias("pos", "vert")), 3)).count() == 0
+
+
+def test_checks_that_find_nothing_have_a_row(spark):
+    """At sf0.01 the box has n = 13, and no vertex of x = 1 has an id divisible by 4: the check is listed with 0, as in the SQL."""
+    got = {r["check"]: r["violations"] for r in check_queries.verify_matches(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {"match not mutual": 0, "match of itself": 1}
+    sound = verify.matches(spark.createDataFrame([(1, 2), (2, 1)], "vert long, match long"))
+    assert verify.summary(sound).count() == 0
+    assert {tuple(r) for r in verify.summary(sound, checks=("match of itself",)).collect()} == {("match of itself", 0)}
