@@ -104,7 +104,7 @@ class ShardWriter:
 
 
 def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_bytes, digest, shard, offset, length, in a table of its own; the payloads are in `folder`."""
+    """doc_id, n_bytes, digest (32 bytes), shard, offset, length, in a table of its own; the payloads are in `folder`."""
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
 
@@ -115,20 +115,20 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             for text in batch.column(1).to_pylist():
                 data = (text or "").encode()
                 body = payload(data)
-                digest = hashlib.sha256(body).hexdigest()
+                digest = hashlib.sha256(body).digest()
                 if digest not in known:
                     if len(known) > 200_000:
                         known.clear()
                     png = encode_png(body)
-                    known[digest] = (*to.add(digest, png), len(png))
+                    known[digest] = (*to.add(digest.hex(), png), len(png))
                 rows.append((len(data), digest, *known[digest]))
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
         to.close()
 
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return written(picked.mapInArrow(run, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long"), "media-rows")
+    return written(picked.mapInArrow(run, f"doc_id {kind}, n_bytes long, digest binary, shard string, offset long, length long"), "media-rows")
 
 
 def index(rows: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def _by_shard(places: DataFrame) -> DataFrame:
     return places.select("digest", "shard", "offset", "length", "group_size").repartition("shard").sortWithinPartitions("shard", "offset")
 
 
-def _ranges(batches: Iterator[pa.RecordBatch], folder: str, head_only: bool) -> Iterator[list[tuple[str, bytes, bytes, int]]]:
+def _ranges(batches: Iterator[pa.RecordBatch], folder: str, head_only: bool) -> Iterator[list[tuple[bytes, bytes, bytes, int]]]:
     """(digest, header, the whole or nothing, rows of the digest), by range reads."""
     fs, path = _open(folder)
     name, file = None, None
@@ -164,9 +164,9 @@ def metadata(places: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _ranges(batches, folder, True):
             heads = [png_header(x) for _, x, _, _ in some]
-            yield pa.RecordBatch.from_pydict({"digest": [d for d, *_ in some], **{n: pa.array([h[k] for h in heads], pa.int64()) for k, n in enumerate(("width", "height", "bits"))}})
+            yield pa.RecordBatch.from_pydict({"digest": pa.array([d for d, *_ in some], pa.binary()), **{n: pa.array([h[k] for h in heads], pa.int64()) for k, n in enumerate(("width", "height", "bits"))}})
 
-    return _by_shard(places).mapInArrow(run, "digest string, width long, height long, bits long")
+    return _by_shard(places).mapInArrow(run, "digest binary, width long, height long, bits long")
 
 
 def features(places: DataFrame, folder: str) -> DataFrame:
@@ -178,12 +178,12 @@ def features(places: DataFrame, folder: str) -> DataFrame:
             for digest, _, data, n in some:
                 body = decode_png(data)
                 x = np.frombuffer(body, np.uint8)
-                rows.append((digest, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), n, f"png:sum={int(x.sum(dtype=np.int64))};max={int(x.max())};zero={int((x == 0).sum())};high={int((x > 127).sum())}"))
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+                rows.append((digest, len(body), hashlib.sha256(body).digest(), zlib.crc32(body[-WIDTH:]), len(data), hashlib.sha256(data).digest(), n, f"png:sum={int(x.sum(dtype=np.int64))};max={int(x.max())};zero={int((x == 0).sum())};high={int((x > 127).sum())}"))
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string())
             names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "group_size", "feature"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return _by_shard(places).mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, group_size long, feature string")
+    return _by_shard(places).mapInArrow(run, "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, group_size long, feature string")
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -193,7 +193,8 @@ def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int =
     places = written(index(rows), "media-index")
     full = written(features(places, folder), "media-features")
     known = places.join(metadata(places, folder), "digest").join(full.drop("group_size"), "digest")
-    return attach(rows.drop("shard", "offset", "length"), written(known, "media-known"), "digest", "group_size", rows.count())
+    out = attach(rows.drop("shard", "offset", "length"), written(known, "media-known"), "digest", "group_size", rows.count())
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256")})
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

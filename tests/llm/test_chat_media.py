@@ -66,3 +66,9 @@ def test_media(spark, tmp_path):
                 assert hashlib.sha256(media.decode_png(t.extractfile(m).read())).hexdigest() + ".png" == m.name
     assert names == {r.payload_sha256 + ".png" for r in out.values()}
     assert media.media_columns(docs.limit(0)).count() == 0
+
+
+def test_digests_travel_as_bytes(spark, tmp_path):
+    """32 bytes a digest in tables and shuffles, not 64 hex digits."""
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    assert media.store(docs, str(tmp_path / "shards")).first()["digest"] == hashlib.sha256(media.payload(b"a text")).digest()
