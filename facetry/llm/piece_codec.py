@@ -66,7 +66,7 @@ def codec(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
         is_byte = np.zeros(p.n + 1, bool)
         is_byte[p.byte_id] = True
         for batch in batches:
-            for a, b, data, offsets in tk.slices(batch.column(1)):
+            for a, b, data, offsets in tk.slices(batch.column(1), tk.SMALL_SLICE):
                 ids, ptr = encode_slice(seg, data, offsets)
                 back, back_offsets = decode_slice(p, ids, ptr)
                 fall = np.concatenate([[0], np.cumsum(is_byte[ids])])[ptr]

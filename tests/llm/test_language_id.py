@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from facetry.llm import language_id as li
@@ -104,3 +105,25 @@ def test_held_out_accuracy(spark):
     out = li.op4_language_id(spark, "/root/testdata/sf0.001").join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")
     right, n = out.agg(F.sum(F.when(F.col("lang") == F.col("lang_pred"), 1).otherwise(0)), F.count("*")).first()
     assert n > 30 and right >= 0.97 * n
+
+
+def test_labelling_holds_little_whatever_the_batch():
+    """Some thirty times a slice is held, so what the operator takes at once is small; results do not depend on it."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)])
+    texts = pa.array([" ".join(rng.choice(vocabulary, 400)) for _ in range(2500)])  # 6 MB
+    model = li.train([(t, lang) for t, lang in zip(texts[:40].to_pylist(), ["a", "b"] * 20, strict=True)])
+    li.is_letter()
+
+    def labelled(most):
+        tracemalloc.start()
+        out = [x for _, _, data, offsets in tk.slices(texts, most) for x in zip(*li.label(model, data, offsets)[:3], strict=True)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak
+
+    small, held = labelled(tk.SMALL_SLICE)
+    large, more = labelled(tk.SLICE_BYTES)
+    assert small == large and held < 0.6 * more
